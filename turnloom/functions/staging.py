@@ -36,6 +36,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is all in the rows: a table of few
+    files is dealt out anew, one of many stays as it is and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salt_by: str | None = None, salts: int = 8) -> DataFrame:
     """Join a lookup table. The lookup is counted first: up to ``BROADCAST_ROWS`` rows it is broadcast,
     beyond that both sides are shuffled on the keys, the left one salted by ``salt_by`` so that a hot
