@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions.staging import spread
+
 # Letters of other scripts drawn like Latin ones, in the order of the Latin alphabet.
 LATIN_OF = {
     # Cyrillic capitals and small letters
@@ -144,7 +146,7 @@ def words(texts: DataFrame) -> DataFrame:
 def inspect(texts: DataFrame) -> DataFrame:
     """(tbl, row_id, plain, tokens) of each row with a character outside printable ASCII."""
     odd = texts.where(F.col("txt").rlike(r"[^\x20-\x7e\t\n\r]"))
-    return odd.select("tbl", "row_id", "txt").mapInArrow(_inspect, FOUND)
+    return spread(odd.select("tbl", "row_id", "txt")).mapInArrow(_inspect, FOUND)
 
 
 def known_repairs(checked: DataFrame, texts: DataFrame) -> DataFrame:

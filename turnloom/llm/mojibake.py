@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions.staging import spread
+
 #: Encodings that UTF-8 bytes may have been read with.
 AS_LEGACY = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "iso8859-15", "cp437", "cp850", "cp1254", "iso8859-2", "koi8-r", "cp866")
 #: (read as, was really) of single-byte confusions.
@@ -273,4 +275,4 @@ def repair_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text"
     twice. Texts of any length are handled whole.
     """
     odd = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    return odd.mapInArrow(_map, OUT)
+    return spread(odd).mapInArrow(_map, OUT)

@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions.staging import spread
+
 #: Folder of the public vocabularies.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed pattern: how byte-level BPE of this family cuts text into pieces.
@@ -144,7 +146,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -157,4 +159,4 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
             n = [len(bpe.encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, n_tokens bigint")
