@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import linkage, lookalikes, mojibake, nearest, packing, runs, tokens, turns
+from turnloom.llm import linkage, lookalikes, mojibake, names, nearest, packing, runs, tokens, turns
 from turnloom.llm.sql import ORACLES as ORACLES
 from turnloom.session import table
 
@@ -26,6 +26,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_runs(spark, sf_dir).where("n_events >= 2").select("episode", "scene_id", "first_sentence_id", "last_sentence_id")
 
 
+def p2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with the canonical spelling it is attached to."""
+    labels = table(spark, sf_dir, "speaker_labels").select("label_id", F.col("series_key").alias("series"), "label")
+    typed = table(spark, sf_dir, "dialogues").select(F.col("episode_root").alias("episode"), F.col("speaker_ct").alias("label"))
+    heard = table(spark, sf_dir, "sentences").select("episode", F.col("speaker").alias("label"))
+    uses = typed.unionByName(heard).where("label is not null").select(F.regexp_extract("episode", r"^(.*?)_s", 1).alias("series"), "label")
+    return names.attribute(labels, uses)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_names(p2_names(spark, sf_dir))
+
+
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sentence was spoken in which line, with the posterior as confidence."""
     return linkage.link_records(table(spark, sf_dir, "sentences"), table(spark, sf_dir, "dialogues"))
@@ -94,5 +107,5 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_links, p4_found, p4_unified, p5_found, p5_nearest, p6_found, p6_turns, p7_ids, p8_containers, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_names, p3_found, p3_links, p4_found, p4_unified, p5_found, p5_nearest, p6_found, p6_turns, p7_ids, p8_containers, p9_found, p9_restored)
 }
