@@ -105,8 +105,8 @@ def word_cost(word: str) -> float:
                 cost += 1.5
             if "Ѐ" <= c <= "ӿ" and c.islower() and before.isupper() and len(core) > i + 1 and after.isupper():
                 cost += 1
-        elif unicodedata.category(c) in ("Mn", "Cn", "Sk") and ord(c) < 0x2000 or unicodedata.category(c) == "Cn":
-            cost += 2
+        elif unicodedata.category(c) in ("Mn", "Sk") and ord(c) < 0x2000 or unicodedata.category(c) in ("Cn", "No") and ord(c) > 0x100:
+            cost += 4
         elif c in "™®©°" and not after and (before.isascii() and before.isalnum()):
             cost += 0.25
         elif c not in INSIDE and 0xA0 <= ord(c) < 0x2500 and not 0x300 <= ord(c) < 0x370:
@@ -122,7 +122,7 @@ def word_cost(word: str) -> float:
         cost += 2 * kana
     if cyrillic and latin:
         cost += 2 * min(cyrillic, latin)
-    if accented >= 2 and accented > 0.5 * len(letters):
+    if accented >= 2 and accented > 0.5 * len(letters) and not (len(letters) < 5 and core.isupper()):
         cost += 1.5 * accented - 1.5
     if cyrillic >= 3 and letters[0].islower() and sum(c.isupper() for c in letters) > 0.6 * len(letters):
         cost += 1.0 * cyrillic  # as if KOI8 letters were read as Windows ones
@@ -214,7 +214,7 @@ def _undo_pair(text: str, read: str, real: str) -> tuple[str, float] | None:
     out, at, total = [], 0, 0.0
     for drop, good, edits in runs:
         left = sum(word_cost(new) for _, _, new in edits)
-        sure = good >= 2 and drop >= 3 or good == len(edits) == 1 and drop >= 1.5 and mild and not left and not text[edits[0][0] : edits[0][1]].isupper()
+        sure = good >= 2 and drop >= 3 or good and drop >= 6 and not mild or good == len(edits) == 1 and drop >= 1.5 and mild and not left and not text[edits[0][0] : edits[0][1]].isupper()
         if sure and drop / len(edits) >= 0.2 and left <= 0.3 * len(edits):
             total += drop
             for a, b, new in edits:

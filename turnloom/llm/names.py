@@ -193,7 +193,7 @@ def _org_channel(v: Name, c: Name) -> float:
         short, full = (v, c) if v.acronym else (c, v)
         initials = "".join(w[0] for w in full.org)
         return LOG_ACRONYM if initials == short.acronym and edits(full.org[0], short.org[0], 1) <= 1 else NEVER
-    total, typos, free = 0.0, 0, list(c.org)
+    total, typos, extra, free = 0.0, 0, 0, list(c.org)
     for w in v.org:
         hit, cost, k = None, NEVER, 0
         for x in free:
@@ -201,10 +201,12 @@ def _org_channel(v: Name, c: Name) -> float:
             if w == x and p > cost or p > cost and (w != x):
                 hit, cost, k = x, p, n
         if hit is None or cost == NEVER:
-            total, typos = total + 2 * LOG_DROPPED, typos + 1  # a word the canonical form lacks
-            return NEVER if len(v.org) <= len(c.org) else total
+            total, extra = total + 2 * LOG_DROPPED, extra + 1  # a word the canonical form lacks
+            continue
         free.remove(hit)
         total, typos = total + (cost * 0.5 if w.endswith("*") else cost), typos + k
+    if extra > 1 or extra and free:
+        return NEVER
     brand = _part(v.org[0], c.org[0], False)[0]
     if brand == NEVER:
         brand = max(_part(w, c.org[0], False)[0] for w in v.org)
