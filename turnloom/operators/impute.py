@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.operators.sequence import prev_next_speaker, running_last, running_sum, scene_runs
+from turnloom.operators.sequence import prev_next_speaker, scene_runs
 
 
 @dataclass(frozen=True)
@@ -64,17 +65,18 @@ def rule_cascade(rows: DataFrame, entity: list[str], pos: str, rules: Rules = Ru
     """
     s = rules.scores
     known = F.nullif(T.clean(F.col("speaker")), F.lit(""))
-    base = scene_runs(rows.withColumn("_known", known), entity, pos)
+    base = (rows if "run" in rows.columns else scene_runs(rows, entity, pos)).withColumn("_known", known)
     run = [*entity, "run"]
     todo = F.col("_known").isNull() & (F.col("row_type") != "direction")
     song = todo & (F.col("row_type") == "song")
     heard = F.coalesce("_known", F.when(song, F.lit("Song")))
     base = base.withColumns({"_song": song, "_todo": todo, "_stop": F.when(heard.isNotNull(), 1).otherwise(0)})
-    b = running_last(base, run, pos, F.coalesce("_known", F.when(F.col("_song"), F.lit("Song"))), "_p", inclusive=False)
-    b = running_last(b, run, pos, F.col("_known"), "_n", inclusive=False, forward=False)
-    b = running_sum(b, run, pos, F.col("_stop"), "_gap")
+    w = W.partitionBy(*run).orderBy(pos)
+    before, upto, after = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing)
+    b = base.withColumns({"_p": F.last(heard, True).over(before), "_n": F.first("_known", True).over(after), "_gap": F.sum("_stop").over(upto)})
     p, n = F.col("_p"), F.col("_n")
-    norm, wc = T.normalize_rule(F.col("utterance")), T.word_count(F.col("utterance"))
+    b = b.withColumns({"_norm": T.normalize_rule(F.col("utterance")), "_wc": T.word_count(F.col("utterance"))})
+    norm, wc = F.col("_norm"), F.col("_wc")
     padded = F.concat(F.lit(" "), norm, F.lit(" "))
     named = lambda who: F.contains(padded, F.concat(F.lit(" "), F.lower(who), F.lit(" ")))
     both = p.isNotNull() & n.isNotNull()
@@ -100,15 +102,14 @@ def rule_cascade(rows: DataFrame, entity: list[str], pos: str, rules: Rules = Ru
     )
     c = b.withColumn("_c", F.when(F.col("_todo"), choice))
     took_next = F.when(F.col("_todo") & ~F.col("_song") & n.isNotNull() & (F.col("_c.who") == n) & (p.isNull() | (p != n)), F.col(pos))
-    first = c.groupBy(*run, "_gap").agg(F.min(took_next).alias("_first"))
-    c = c.join(first, [*run, "_gap"], "left")
+    c = c.withColumn("_first", F.min(took_next).over(W.partitionBy(*run, "_gap")))
     later = F.col("_todo") & ~F.col("_song") & (F.col(pos) > F.col("_first"))
     final = F.when(later, rule(n, "scene_context_bridge", "high", s["high_bridge"], False)).otherwise(F.col("_c"))
     c = c.withColumn("_f", final)
     hit = F.col("_todo") & F.col("_f.who").isNotNull()
     pick = lambda name, old: F.when(hit, F.col(f"_f.{name}")).otherwise(F.col(old))
     out = c.withColumns({"speaker": F.coalesce("_known", F.col("_f.who"), F.lit("")), "filled_from_missing": F.col("filled_from_missing") | hit, "speaker_method": pick("method", "speaker_method"), "speaker_confidence": pick("confidence", "speaker_confidence"), "alignment_score": pick("score", "alignment_score"), "review_flag": pick("review", "review_flag"), "review_reason": pick("reason", "review_reason")})
-    return out.drop("_known", "_song", "_todo", "_stop", "_p", "_n", "_gap", "_first", "_c", "_f", "run")
+    return out.drop("_known", "_song", "_todo", "_stop", "_p", "_n", "_gap", "_first", "_c", "_f", "_norm", "_wc", "run")
 
 
 def stamp_review(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -208,14 +209,14 @@ def fold_rows(pdf: pd.DataFrame, rules: Rules = Rules(), rounds: int = 3) -> pd.
 def cascade(rows: DataFrame, entity: list[str], pos: str, rules: Rules = Rules()) -> DataFrame:
     """``rule_cascade`` for all scenes it covers, and the ordered fold, a scene at a time, for those it doesn't: scenes
     that recur after others, and stretches with a song and nobody known."""
-    runs = scene_runs(rows, entity, pos)
     scene = [*entity, "scene_id"]
-    recur = runs.groupBy(*scene).agg(F.countDistinct("run").alias("n")).where("n > 1").select(*scene)
-    mute = runs.groupBy(*scene, "run").agg(F.max(F.when(F.trim("speaker") != "", 1).otherwise(0)).alias("k"), F.max(F.when(F.col("row_type") == "song", 1).otherwise(0)).alias("s")).where("k = 0 and s = 1").select(*scene)
-    odd = recur.unionByName(mute).distinct()
-    plain = rule_cascade(rows.join(odd, scene, "left_anti"), entity, pos, rules)
+    in_run, in_scene = W.partitionBy(*entity, "run"), W.partitionBy(*scene)
+    known, song = F.when(F.trim("speaker") != "", 1).otherwise(0), F.when(F.col("row_type") == "song", 1).otherwise(0)
+    runs = scene_runs(rows, entity, pos).withColumn("_mute", F.when((F.max(known).over(in_run) == 0) & (F.max(song).over(in_run) == 1), 1).otherwise(0))
+    flagged = runs.withColumn("_odd", (F.min("run").over(in_scene) != F.max("run").over(in_scene)) | (F.max("_mute").over(in_scene) == 1)).drop("_mute")
+    plain = rule_cascade(flagged.where("not _odd").drop("_odd"), entity, pos, rules)
     columns = plain.columns
-    todo = runs.join(odd, scene, "left_semi").withColumns({"wc": T.word_count(F.col("utterance")), "norm": T.normalize_rule(F.col("utterance"))})
+    todo = flagged.where("_odd").withColumns({"wc": T.word_count(F.col("utterance")), "norm": T.normalize_rule(F.col("utterance"))})
     schema = todo.select(*columns).schema
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

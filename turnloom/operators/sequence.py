@@ -21,10 +21,9 @@ def running_last(df: DataFrame, entity: list[str], pos: str, value: Column, out:
     sort, upto = (F.col(pos).asc() if forward else F.col(pos).desc()), (0 if inclusive else -1)
     inside = W.partitionBy(*entity, "_b").orderBy(sort).rowsBetween(W.unboundedPreceding, upto)
     pick = F.max_by if forward else F.min_by
-    blocks = keyed.where("_v is not null").groupBy(*entity, "_b").agg(pick("_v", pos).alias("_last"))
-    every = keyed.select(*entity, "_b").distinct().join(blocks, [*entity, "_b"], "left")
+    blocks = keyed.groupBy(*entity, "_b").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.col(pos))).alias("_last"))
     across = W.partitionBy(*entity).orderBy(F.col("_b").asc() if forward else F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
-    carried = every.select(*entity, "_b", F.last("_last", True).over(across).alias("_carry")).where("_carry is not null")
+    carried = blocks.select(*entity, "_b", F.last("_last", True).over(across).alias("_carry")).where("_carry is not null")
     local = keyed.withColumn(out, F.last("_v", True).over(inside))
     return local.join(carried, [*entity, "_b"], "left").withColumn(out, F.coalesce(F.col(out), "_carry")).drop("_v", "_b", "_carry")
 
@@ -92,19 +91,20 @@ def prev_next_speaker(rows: DataFrame, entity: list[str], pos: str) -> DataFrame
 
 
 def scene_runs(rows: DataFrame, entity: list[str], pos: str) -> DataFrame:
-    """``rows`` with ``run``: the number of the contiguous stretch of one scene that a row is in."""
+    """``rows`` with ``run``: the position at which the contiguous stretch of one scene begins that a row is in."""
     w = W.partitionBy(*entity).orderBy(pos)
-    fresh = F.when(F.lag("scene_id").over(w).eqNullSafe(F.col("scene_id")) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return running_sum(rows.withColumn("_new", fresh), entity, pos, F.col("_new"), "run").drop("_new")
+    fresh = ~F.lag("scene_id").over(w).eqNullSafe(F.col("scene_id")) | (F.row_number().over(w) == 1)
+    marked = rows.withColumn("_new", F.when(fresh, F.col(pos)))
+    return marked.withColumn("run", F.last("_new", True).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
 def nearest_known_speaker(rows: DataFrame, entity: list[str], pos: str) -> DataFrame:
     """The nearest known speaker on either side within the contiguous stretch of the scene; empty if there is none."""
     known = F.nullif(F.trim("speaker"), F.lit(""))
-    runs = scene_runs(rows, entity, pos)
-    before = running_last(runs, [*entity, "run"], pos, known, "prev_known", inclusive=False)
-    both = running_last(before, [*entity, "run"], pos, known, "next_known", inclusive=False, forward=False)
-    return both.withColumns({c: F.coalesce(c, F.lit("")) for c in ("prev_known", "next_known")})
+    w = W.partitionBy(*entity, "run").orderBy(pos)
+    before = F.last(known, True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first(known, True).over(w.rowsBetween(1, W.unboundedFollowing))
+    return scene_runs(rows, entity, pos).withColumns({"prev_known": F.coalesce(before, F.lit("")), "next_known": F.coalesce(after, F.lit(""))})
 
 
 def review_queue(rows: DataFrame, entity: list[str], pos: str, flagged: Column, context: int = 2) -> DataFrame:

@@ -117,13 +117,13 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, needed: Iterable[str] = (), sep: str = "\t", schema: str | None = None) -> DataFrame:
     """A delimited table with header, all strings unless a schema is given; doubled quotes and line breaks in quotes are
-    text. Columns in ``needed`` must be there."""
+    text. Columns in ``needed`` must be there. Without a schema, what is empty is the empty string."""
     reader = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=True, recursiveFileLookup=True, nullValue="\u0000", emptyValue="")
     df = (reader.schema(schema) if schema else reader).csv(path)
     lacking = [c for c in needed if c not in df.columns]
     if lacking:
         raise ValueError(f"{path} lacks the columns {lacking}")
-    return df
+    return df if schema else df.na.fill("")
 
 
 def read_enhanced_input(spark: SparkSession, path: str) -> DataFrame:
