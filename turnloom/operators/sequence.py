@@ -221,7 +221,7 @@ def sliding_window_best(similarity: DataFrame, entity: list[str], left: str, rig
         raise ValueError(f"the window must be positive, not {size}")
     ahead = W.partitionBy(*entity, left).orderBy(right).rowsBetween(0, size - 1)
     best = similarity.withColumn("_best", F.max(value).over(ahead)).join(n_right, entity).where(F.col(right) <= F.greatest(F.lit(0), F.col("n") - size))
-    scored = best.groupBy(*entity, right, "n").agg(F.round(F.sum(F.round(F.col("_best") * 1e6).cast("bigint")) / F.count("*") / 1e6, 6).alias("score"))
+    scored = best.groupBy(*entity, right, "n").agg((F.floor(F.sum(F.round(F.col("_best") * 1e6).cast("bigint")) / F.count("*")) / 1e6).alias("score"))
     top = scored.groupBy(*entity).agg(F.max(F.struct("score", -F.col(right), "n")).alias("m"))
     start = -F.col("m.col2")
     return top.select(*entity, start.alias("start_idx"), F.least(start + size, F.col("m.n")).alias("end_idx"), F.col("m.score").alias("score"))

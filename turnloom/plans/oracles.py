@@ -151,7 +151,7 @@ FROM K LEFT JOIN SP USING (episode, scene_id) GROUP BY K.episode, K.scene_id""",
     "similarity_matrix_topk": f"WITH {OVERLAP} SELECT sent_id, dialogue_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY sim DESC, dialogue_id) AS rank FROM O) WHERE rank <= 2",
     "sliding_window_best": f"""WITH {OVERLAP}, PL AS (SELECT *, row_number() OVER (PARTITION BY root, scene_id ORDER BY dialogue_idx, dialogue_id) - 1 AS j, count(*) OVER (PARTITION BY root, scene_id) AS n FROM (SELECT DISTINCT root, scene_id, dialogue_id, dialogue_idx FROM O)),
 Q AS (SELECT O.root, O.scene_id, sent_id, j, n, max(sim) OVER (PARTITION BY O.root, O.scene_id, sent_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS best FROM O JOIN PL USING (root, scene_id, dialogue_id)),
-SC AS (SELECT root, scene_id, j, n, round(sum(CAST(round(best * 1000000.0) AS BIGINT)) / count(*) / 1000000.0, 6) AS score FROM Q WHERE j <= greatest(0, n - 5) GROUP BY ALL)
+SC AS (SELECT root, scene_id, j, n, floor(sum(CAST(round(best * 1000000.0) AS BIGINT)) / count(*)) / 1000000.0 AS score FROM Q WHERE j <= greatest(0, n - 5) GROUP BY ALL)
 SELECT root, scene_id, j AS start_idx, least(j + 5, n) AS end_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY root, scene_id ORDER BY score DESC, j) AS r FROM SC) WHERE r = 1""",
     "normalize_text_rule": f"WITH {S} SELECT sent_id, {norm('utterance')} AS norm FROM S",
     "word_count": f"WITH {S} SELECT sent_id, {words('utterance')} AS n_words FROM S",
