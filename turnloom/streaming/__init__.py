@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streams of turns: networks kept up to date as scenes arrive."""
