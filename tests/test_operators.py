@@ -249,6 +249,12 @@ def test_propagation(spark):
     assert out == {1: "A", 2: "A", 3: "A", 4: "B", 5: None, 6: None}
 
 
+def test_missing_columns_are_added(spark):
+    out = impute.complete_schema(spark.createDataFrame([("e", 1, "hi")], "episode string, scene_id int, utterance string"))
+    r = out.collect()[0]
+    assert out.columns[:3] == ["episode", "scene_id", "sentence_id"] and r.speaker == "" and r.review_flag is False and r.alignment_score == 0.0
+
+
 def test_folds_take_empty_frames():
     empty = pd.DataFrame(columns=["speaker", "scene_id", "row_type", "utterance", "wc", "norm", "run", "speaker_ct", "speaker_confidence", "review_flag"])
     assert len(impute.fold_rows(empty)) == 0 and len(qa.fold_scene(empty)) == 0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnloom import schemas
 from turnloom.functions import text as T
 from turnloom.operators.sequence import prev_next_speaker, scene_runs
 
@@ -240,3 +241,10 @@ def scene_context(rows: DataFrame, entity: list[str], pos: str) -> DataFrame:
     """Rows with the scene's speakers and the speakers right before and after in the scene."""
     sets = scene_speaker_set(rows, [*entity, "scene_id"], pos)
     return prev_next_speaker(rows, entity, pos).join(sets, [*entity, "scene_id"], "left").withColumn("scene_speaker_set", F.coalesce("scene_speaker_set", F.lit("")))
+
+
+def complete_schema(rows: DataFrame, keep: tuple[str, ...] = ("episode",)) -> DataFrame:
+    """The enhanced columns in order, after those in ``keep`` that are there; a missing one has its type's empty value."""
+    empty = {"filled_from_missing": F.lit(False), "matched_to_ct": F.lit(False), "review_flag": F.lit(False), "alignment_score": F.lit(0.0)}
+    lacking = {c: empty.get(c, F.lit("")) for c in schemas.ENHANCED_COLUMNS if c not in rows.columns}
+    return rows.withColumns(lacking).select(*[k for k in keep if k in rows.columns], *schemas.ENHANCED_COLUMNS)
