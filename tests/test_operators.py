@@ -258,3 +258,21 @@ def test_missing_columns_are_added(spark):
 def test_folds_take_empty_frames():
     empty = pd.DataFrame(columns=["speaker", "scene_id", "row_type", "utterance", "wc", "norm", "run", "speaker_ct", "speaker_confidence", "review_flag"])
     assert len(impute.fold_rows(empty)) == 0 and len(qa.fold_scene(empty)) == 0
+
+
+def test_lookup_joins_agree(spark, monkeypatch):
+    from turnloom.functions import staging
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(200)] + [(900, None)], "i bigint, k string")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("k0", 3), (None, 4)], "k string, v int")
+    rows = lambda: sorted((r.i, r.v) for r in staging.lookup_join(left, right, ["k"], salt_by="i").na.fill(-1, ["v"]).collect())
+    small = rows()
+    monkeypatch.setattr(staging, "BROADCAST_ROWS", 1)
+    assert rows() == small and len(small) == 201
+
+
+def test_staged_tables_are_read_back(spark):
+    from turnloom.functions import staging
+
+    df = staging.stage(spark.createDataFrame([(1, [1, 2])], "a int, b array<int>"), "x")
+    assert df.collect()[0].b == [1, 2] and staging.stage(df.limit(0), "x").count() == 0

@@ -184,3 +184,17 @@ Q AS (SELECT *, CASE WHEN NOT review_flag THEN NULL WHEN speaker <> '' AND p = s
 SELECT sent_id, resolved, 'high' AS speaker_confidence, 'qa_review_resolved_' || resolved AS speaker_method, CASE WHEN resolved = 'bridge' THEN greatest(alignment_score, 0.9) ELSE greatest(alignment_score, 1.0) END AS alignment_score FROM Q WHERE resolved IS NOT NULL""",
     "qa_rollup": f"""WITH {CHECKED} SELECT season, episode, count(*) AS n_rows, count_if(speaker = '') AS blank_rows, count_if(speaker_confidence = 'high') AS high_rows, count_if(speaker_confidence IN ('low', 'medium')) AS weak_rows, count_if(review_flag) AS review_rows FROM CK GROUP BY ROLLUP (season, episode)""",
 }
+
+SPACE = r"[\s\p{Z}\x1c-\x1f\x{85}]+"
+ORACLES["title_case_speaker"] = f"""WITH {U} SELECT utt_id, CASE WHEN speaker IS NOT NULL THEN array_to_string(list_transform(regexp_extract_all({clean('speaker')}, '\\p{{L}}+|\\P{{L}}+'), lambda x: upper(x[1:1]) || lower(x[2:])), '') END AS speaker FROM U"""
+ORACLES["split_chunks"] = rf"""WITH {D}, CH AS (SELECT dialogue_id, list_filter(list_transform(string_split_regex(replace(regexp_replace(coalesce(utterance_ct, ''), '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '...', '. '), '[.!?;]+'),
+    lambda p: regexp_replace(trim(regexp_replace(p, '{SPACE}', ' ', 'g')), '^[ ,:\-]+|[ ,:\-]+$', '', 'g')), lambda p: {norm('p')} <> '') AS ps FROM D)
+SELECT dialogue_id, unnest(range(len(ps))) AS pos, unnest(ps) AS raw, unnest(list_transform(ps, lambda p: {norm('p')})) AS norm FROM CH"""
+ORACLES["interval_join_words"] = f"""WITH {S}, {U}, WS AS (SELECT episode, idx, start_s, coalesce(end_s, start_s) AS end_s, max(start_s) OVER (PARTITION BY episode ORDER BY idx) AS m FROM U WHERE start_s IS NOT NULL),
+SK AS (SELECT episode, sentence_id, start_s AS a, coalesce(end_s, start_s) AS b, row_number() OVER (PARTITION BY episode ORDER BY sentence_id) AS k, count(*) OVER (PARTITION BY episode) AS n FROM S WHERE start_s IS NOT NULL),
+SM AS (SELECT *, max(b) OVER (PARTITION BY episode ORDER BY k) AS pm FROM SK),
+PT AS (SELECT w.episode, w.idx, w.start_s, w.end_s, least(any_value(s.n), 1 + count_if(s.pm + 1e-3 < w.m)) AS p FROM WS w JOIN SM s USING (episode) GROUP BY w.episode, w.idx, w.start_s, w.end_s),
+CD AS (SELECT PT.episode, PT.idx, s.sentence_id, c.o, s.a - 1e-3 <= PT.start_s AND PT.start_s <= s.b + 1e-3 AS holds, least(PT.end_s, s.b) - greatest(PT.start_s, s.a) AS ov
+    FROM PT JOIN (VALUES (0, 0), (1, -1), (2, 1)) c(o, d) ON true JOIN SM s ON s.episode = PT.episode AND s.k = PT.p + c.d),
+BE AS (SELECT *, row_number() OVER (PARTITION BY episode, idx ORDER BY CASE WHEN holds THEN 0 ELSE 1 END, CASE WHEN holds THEN 0 ELSE -ov END, o) AS r FROM CD WHERE holds OR ov > -1.0)
+SELECT U.episode, U.idx, BE.sentence_id AS sentence_idx FROM U LEFT JOIN BE ON BE.episode = U.episode AND BE.idx = U.idx AND BE.r = 1"""
