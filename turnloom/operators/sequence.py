@@ -38,15 +38,26 @@ def running_sum(df: DataFrame, entity: list[str], pos: str, value: Column, out:
     return keyed.withColumn(out, F.sum("_v").over(inside)).join(carried, [*entity, "_b"]).withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_v", "_b", "_carry")
 
 
+def with_neighbours(df: DataFrame, entity: list[str], pos: str, value: Column) -> DataFrame:
+    """``df`` with ``_prev`` and ``_next``: the ``value``, a struct, of the rows right before and after, null at the ends.
+    Two levels again: neighbours inside a block, and each block's first and last row."""
+    keyed = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(pos) / BLOCK))
+    inside, across = W.partitionBy(*entity, "_b").orderBy(pos), W.partitionBy(*entity).orderBy("_b")
+    ends = keyed.groupBy(*entity, "_b").agg(F.min_by("_v", pos).alias("_first"), F.max_by("_v", pos).alias("_last"))
+    beside = ends.select(*entity, "_b", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    local = keyed.withColumns({"_prev": F.lag("_v").over(inside), "_next": F.lead("_v").over(inside)})
+    return local.join(beside, [*entity, "_b"], "left").withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")}).drop("_v", "_b", "_before", "_after")
+
+
 def word_sessionization(words: DataFrame, entity: list[str], pos: str, gap: float = 0.5) -> DataFrame:
     """Neighbouring words of one speaker with less than ``gap`` seconds between them as one utterance: entity, idx,
     speaker, start_s, end_s, n_words, text. Words keep the order of ``pos``; a word without end ends at its start."""
     if gap < 0:
         raise ValueError("the gap must not be negative")
-    w = W.partitionBy(*entity).orderBy(pos)
     end = F.coalesce("end_s", "start_s")
-    fresh = F.lag("speaker").over(w).isNull() & (F.row_number().over(w) == 1) | ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) | (F.col("start_s") - F.lag(end).over(w) >= gap)
-    marked = words.withColumn("_end", end).withColumn("_new", F.when(F.coalesce(fresh, F.lit(False)), 1).otherwise(0))
+    near = with_neighbours(words, entity, pos, F.struct("speaker", end.alias("end")))
+    fresh = F.col("_prev").isNull() | ~F.col("_prev.speaker").eqNullSafe(F.col("speaker")) | (F.col("start_s") - F.col("_prev.end") >= gap)
+    marked = near.withColumn("_end", end).withColumn("_new", F.when(F.coalesce(fresh, F.lit(False)), 1).otherwise(0)).drop("_prev", "_next")
     grouped = running_sum(marked, entity, pos, F.col("_new"), "_group").groupBy(*entity, "_group")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "word"))), lambda x: x["word"]), " ")
     out = grouped.agg(F.first("speaker").alias("speaker"), F.min_by("start_s", pos).alias("start_s"), F.max_by("_end", pos).alias("end_s"), F.count("*").alias("n_words"), said.alias("text"))
@@ -85,17 +96,16 @@ def scene_ids_from_markers(rows: DataFrame, entity: list[str], pos: str, marker:
 
 def prev_next_speaker(rows: DataFrame, entity: list[str], pos: str) -> DataFrame:
     """The speakers of the rows right before and after, if of the same scene; empty otherwise."""
-    w = W.partitionBy(*entity).orderBy(pos)
-    side = lambda f: F.when(f("scene_id").over(w).eqNullSafe(F.col("scene_id")) & f("scene_id").over(w).isNotNull(), F.coalesce(F.trim(f("speaker").over(w)), F.lit(""))).otherwise("")
-    return rows.withColumns({"prev_speaker_scene": side(F.lag), "next_speaker_scene": side(F.lead)})
+    near = with_neighbours(rows, entity, pos, F.struct("scene_id", "speaker"))
+    side = lambda c: F.when(F.col(f"{c}.scene_id") == F.col("scene_id"), F.coalesce(F.trim(F.col(f"{c}.speaker")), F.lit(""))).otherwise("")
+    return near.withColumns({"prev_speaker_scene": side("_prev"), "next_speaker_scene": side("_next")}).drop("_prev", "_next")
 
 
 def scene_runs(rows: DataFrame, entity: list[str], pos: str) -> DataFrame:
     """``rows`` with ``run``: the position at which the contiguous stretch of one scene begins that a row is in."""
-    w = W.partitionBy(*entity).orderBy(pos)
-    fresh = ~F.lag("scene_id").over(w).eqNullSafe(F.col("scene_id")) | (F.row_number().over(w) == 1)
-    marked = rows.withColumn("_new", F.when(fresh, F.col(pos)))
-    return marked.withColumn("run", F.last("_new", True).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    near = with_neighbours(rows, entity, pos, F.struct("scene_id"))
+    fresh = F.col("_prev").isNull() | ~F.col("_prev.scene_id").eqNullSafe(F.col("scene_id"))
+    return running_last(near.drop("_next"), entity, pos, F.when(fresh, F.col(pos)), "run").drop("_prev")
 
 
 def nearest_known_speaker(rows: DataFrame, entity: list[str], pos: str) -> DataFrame:
