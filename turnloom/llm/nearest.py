@@ -85,8 +85,8 @@ def nearest_records(left: DataFrame, right: DataFrame, tolerance: float, partiti
     """Each left record with the right record of its entity nearest in time: entity, left_id, left_t, right_id, right_t, gap.
 
     Both inputs have entity, t and id (further columns are ignored). Only pairs at most ``tolerance`` apart come out.
-    Of two right records equally far, the earlier one is taken; of several at one time, the one with the least id
-    or greatest id nearest in sort order. Records with null entity, t or id take part in nothing; NaN counts as
+    Of two right records equally far, the earlier one is taken; of several at one time, the greatest id of those before the
+    left record, the least of those at its time or after. Records with null entity, t or id take part in nothing; NaN counts as
     null. A left record delivered twice comes out once; empty inputs give no rows.
     """
     spark = left.sparkSession
