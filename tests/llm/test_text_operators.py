@@ -155,3 +155,30 @@ def test_turns_over_partitions_equal_one_partition(spark):
 def test_untimed_segments_come_last(spark):
     rows = [(1, "e", 1, "SPEAKER_01", None, None, "late"), (2, "e", 2, "SPEAKER_02", 5.0, 6.0, "first"), (3, "e", 3, "SPEAKER_03", None, None, "[00:00:01] early")]
     assert [r[2] for r in sorted(turn_rows(spark, rows), key=lambda r: {3: 0, 2: 1, 1: 2}[r[0]])] == ["Zoë Ray", "Bob Ray", "Ann Lee"]
+
+
+def test_labels_before_a_dash(spark):
+    rows = [
+        (1, "e", 0, "SPEAKER_01", 1.0, 2.0, "One"),
+        (2, "e", 1, "UNKNOWN", 2.0, 3.0, "Bob Ray - Let's go"),
+        (3, "e", 2, None, 3.0, 4.0, "[111m20s] Ann Lee – Listen: no"),
+        (4, "e", 3, "?", 4.0, 5.0, "00:32:50:20 Bob Ray - [32m50s] Can you"),
+        (5, "e", 4, " ", 5.0, 6.0, "(3:49:06) Zoë Ray - My 03:49:06:06 cousin"),
+        (6, "e", 5, None, 6.0, 7.0, "Nobody here - we said"),
+        (7, "e", 6, None, 7.0, 8.0, "SPEAKER_01 — yes - no"),
+        (8, "e", 7, "SPEAKER_02", 8.0, 9.0, "Ann- Ann - Lee: hello"),
+        (9, "e", 8, "SPEAKER_02", 9.0, 10.0, "Zoë- wait"),
+        (10, "e", 9, None, 10.0, 11.0, "Ann - Lee: hello"),
+    ]
+    want = [
+        (1, 1, "Ann Lee", "One"),
+        (2, 2, "Bob Ray", "Let's go"),
+        (3, 3, "Ann Lee", "Listen: no"),
+        (4, 4, "Bob Ray", "Can you"),
+        (5, 6, "Zoë Ray", "My cousin Nobody here - we said"),
+        (7, 7, "Ann Lee", "yes - no"),
+        (8, 9, "Bob Ray", "Ann - Lee: hello Zoë- wait"),
+        (10, 10, "Ann Lee", "hello"),
+    ]
+    for n in (1, 3):
+        assert turn_rows(spark, rows, partitions=n) == want
