@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import network
-from turnloom.plans import cli, pipeline
+from turnloom.plans import catalogue, cli, pipeline
 from turnloom.sources import readers, sinks
 
 
@@ -103,3 +103,21 @@ def test_command_line(spark, tmp_path):
     cli.main(["all", "--input", str(src), "--output", str(tmp_path / "out"), "--measures", "degree"])
     rows = readers.read_table(spark, str(tmp_path / "out" / "enhanced")).where(F.col("speaker") != "").count()
     assert rows == 4 and (tmp_path / "out" / "episode_edges").exists() and (tmp_path / "out" / "edge_birth_death").exists()
+
+
+def test_rows_without_a_scene_are_aligned(spark, tmp_path):
+    sent = "sent_id bigint, episode string, season string, scene_id int, sentence_id int, start_s double, end_s double, speaker string, utterance string, alignment_score double, loaded_at timestamp"
+    said = [("a", None, "we lost the map"), ("a", 1, "look in the kitchen drawer"), ("a", None, "that is empty too"), ("a", 2, "somebody stole the piano"), ("b", None, "call the museum now"), ("b", 2, "they are closed today"), ("b", None, "nothing like any line at all")]
+    rows = [(i, f"x_s01e01{part}", "s01", scene, i, float(i), i + 0.5, None, text, None, None) for i, (part, scene, text) in enumerate(said)]
+    spark.createDataFrame(rows, sent).write.parquet(str(tmp_path / "sentences.parquet"))
+    typed = [(10 + i, "x_s01e01", i, scene, f"W{i}", said[i][2].capitalize(), None) for i, scene in enumerate([None, None, 1, None, 2, None])]
+    typed[3] = (13, "x_s01e01", 3, 2, "W3", said[3][2], None)
+    spark.createDataFrame(typed, "dialogue_id bigint, episode_root string, dialogue_idx int, scene_idx int, speaker_ct string, utterance_ct string, loaded_at timestamp").write.parquet(str(tmp_path / "dialogues.parquet"))
+    q = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    pairs = [(i, 10 + i) for i in range(6)]
+    for name in ("align_monotonic", "align_monotonic_speakers"):
+        assert sorted((r.sent_idx, r.dialogue_idx) for r in q(name)) == pairs
+    assert sorted((r.idx, r.speaker_ct, r.scene_desc) for r in q("alignment_rows")) == [(i, f"W{i}", f"scene {1 if i < 3 else 2}") for i in range(6)] + [(6, None, None)]
+    for name in ("anchor_chunk_fill", "directional_residual_fill", "neighbor_residual_fill"):
+        assert sorted((r.idx, r.speaker_ct) for r in q(name)) == [(i, f"W{i}") for i in range(6)] + [(6, None)]
+    assert sorted((r.episode, r.n_sentences, r.n_align, r.n_unfilled) for r in q("annotation_stats")) == [("x_s01e01a", 4, 4, 0), ("x_s01e01b", 3, 2, 1)]

@@ -378,10 +378,17 @@ def parse_transcript(spark, d):
 # Alignment and fills
 
 
+def _scened(df, entity, pos):
+    """Rows without a scene take the last known one before them, at the head of an entity the first one after; 1 if none is."""
+    near = sequence.running_last(sequence.running_last(df, entity, pos, F.col("scene_id"), "_before"), entity, pos, F.col("scene_id"), "_after", forward=False)
+    return near.withColumn("scene_id", F.coalesce("_before", "_after", F.lit(1)).cast("int")).drop("_before", "_after")
+
+
 def _aligned_inputs(spark, d):
-    s = A.sentences(spark, d).where("scene_id is not null").select(T.episode_root(F.col("episode")).alias("root"), "episode", "scene_id", F.col("sent_id").alias("idx"), F.col("utterance").alias("text"), "start_s", "end_s", "speaker")
-    t = A.dialogues(spark, d).where("scene_idx is not null").select(F.col("episode_root").alias("root"), F.col("scene_idx").alias("scene_id"), "scene_idx", F.col("dialogue_id").alias("idx"), "speaker_ct", "utterance_ct")
-    return s, t
+    """All sentences and lines; those without a scene are in the one they stand in."""
+    s = _scened(A.sentences(spark, d), EP, "sentence_id").select(T.episode_root(F.col("episode")).alias("root"), "episode", "scene_id", F.col("sent_id").alias("idx"), F.col("utterance").alias("text"), "start_s", "end_s", "speaker")
+    t = _scened(A.dialogues(spark, d).withColumnRenamed("scene_idx", "scene_id"), ["episode_root"], "dialogue_idx")
+    return s, t.select(F.col("episode_root").alias("root"), "scene_id", F.col("scene_id").alias("scene_idx"), F.col("dialogue_id").alias("idx"), "speaker_ct", "utterance_ct")
 
 
 def _normed(df, text, who):
