@@ -152,11 +152,6 @@ def test_turns_over_partitions_equal_one_partition(spark):
     assert turn_rows(spark, rows, partitions=9) == turn_rows(spark, rows, partitions=50) == one
 
 
-def test_untimed_segments_come_last(spark):
-    rows = [(1, "e", 1, "SPEAKER_01", None, None, "late"), (2, "e", 2, "SPEAKER_02", 5.0, 6.0, "first"), (3, "e", 3, "SPEAKER_03", None, None, "[00:00:01] early")]
-    assert [r[2] for r in sorted(turn_rows(spark, rows), key=lambda r: {3: 0, 2: 1, 1: 2}[r[0]])] == ["Zoë Ray", "Bob Ray", "Ann Lee"]
-
-
 def test_labels_before_a_dash(spark):
     rows = [
         (1, "e", 0, "SPEAKER_01", 1.0, 2.0, "One"),
