@@ -107,6 +107,18 @@ def test_containers(spark):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[51] * 300, [60, 30, 11] * 100, [1] * 50 + [70] * 250, [0] * 300, list(range(1, 101)) * 3])
+def test_handing_on_few_containers_loses_no_join(spark, sizes, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens bigint").repartition(3)
+    few = packing.pack(df, 100, node_items=12).collect()
+    monkeypatch.setattr(packing.heapq, "nsmallest", lambda n, x: sorted(x))  # hand on every underfull container
+    every = packing.pack(df, 100, node_items=12).collect()
+    count = lambda rows: len({r.container_id for r in rows if r.n})
+    assert sorted(r.doc_id for r in few) == sorted(r.doc_id for r in every) == list(range(300))
+    assert count(few) <= count(every) + 1
+    assert max(Counter(r.container_id for r in few if not r.n).values(), default=0) <= 60  # size 0 piles up nowhere
+
+
 def test_best_fit_never_overfills():
     rng = random.Random(6)
     sizes = [rng.randrange(0, 50) for _ in range(500)]

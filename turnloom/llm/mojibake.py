@@ -32,7 +32,6 @@ LETTERS = "àâäæçèéêëîïôœùûüÿñáíóúìòãõåøößąćęł
 COMMON = frozenset(LETTERS + LETTERS.upper().replace("SS", "ẞ"))
 OPENING, CLOSING = "\"'«»„“”‚‘’‹›()[]{}<>*_-–—¿¡…#~/♪", "\"'«»„“”‚‘’‹›()[]{}<>*_-–—.,:;!?…%/♪"
 INSIDE = frozenset("'’-–—‑.,:;/@&_·…+=#%()[]\"“”«»‘<>!?*~|\\´`")
-LAYERS = 5
 
 
 @lru_cache(maxsize=None)
@@ -228,7 +227,7 @@ def _undo_pair(text: str, read: str, real: str) -> tuple[str, float] | None:
 def restore(text: str) -> tuple[str, list[str]]:
     """The text with its garbled stretches undone as far as can be, and the encodings it had been read with."""
     layers: list[str] = []
-    for _ in range(LAYERS):
+    while True:  # every layer lowers the cost by 1 at least
         now = text_cost(text)
         if now < 1:
             break
