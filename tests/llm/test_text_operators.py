@@ -50,6 +50,37 @@ def test_right_texts_stay():
         assert mojibake.garbled(text) == (text, [], False)
 
 
+def test_short_accented_words_stay():
+    for text in ["été", "il a été là", "éwé", "Il a été élu à l'été"]:
+        assert mojibake.garbled(text) == (text, [], False)
+
+
+def test_layers_have_no_limit():
+    text = bad = "La pâte brisée était cachée à l'hôtel"
+    for _ in range(8):
+        bad = "".join(mojibake._chars("cp1252")[b] if b > 127 else chr(b) for b in bad.encode())
+    assert mojibake.garbled(bad)[:2] == (text, ["utf-8 as cp1252"] * 8)
+
+
+def test_cost_on_texts_of_another_source(spark):
+    """Names of countries and languages as the JVM's own locale data has them: right texts stay, damaged ones are found."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    rng, right, wrong, tries, found_, restored = random.Random(1), 0, 0, 0, 0, 0
+    for lang in "en fr de es pt pl ru".split():
+        own = locale.forLanguageTag(lang)
+        names = [locale.forLanguageTag("und-" + c).getDisplayCountry(own) for c in locale.getISOCountries()] + [locale.forLanguageTag(c).getDisplayLanguage(own) for c in locale.getISOLanguages()]
+        rng.shuffle(names)
+        for k in range(0, len(names), 6):
+            text = ", ".join(names[k : k + 6])
+            if text.isascii():
+                continue
+            right, wrong = right + 1, wrong + mojibake.garbled(text)[2]
+            for read in ("cp1252", "latin-1", "mac_roman", "cp1250", "cp437"):
+                new, _, hit = mojibake.garbled("".join(mojibake._chars(read)[b] if b > 127 else chr(b) for b in text.encode()))
+                tries, found_, restored = tries + 1, found_ + hit, restored + (new == text)
+    assert right > 300 and wrong <= 0.01 * right and found_ >= 0.99 * tries and restored >= 0.99 * tries
+
+
 def test_garbled_rows(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "x"), (2, "café", "x"), (3, None, "x"), (4, "", "x"), (5, "souffl�", "x"), (1, "cafÃ©", "x")], "doc_id bigint, text string, restored string")
     out = sorted((r.doc_id, r.restored, r.complete) for r in mojibake.repair_garbled(df).collect())

@@ -71,6 +71,9 @@ def _utf8(run: str, encoding: str) -> str | None:
         return None
 
 
+PACKED = re.compile("[\xc0-\xff]{2}")
+
+
 @lru_cache(maxsize=200_000)
 def word_cost(word: str) -> float:
     """How garbled a word looks; 0 for ordinary words of any script."""
@@ -114,14 +117,14 @@ def word_cost(word: str) -> float:
         if a.islower() and b.isupper() and not (a.isascii() and b.isascii()) and b.isascii():
             cost += 1.5
         if "\x7f" < a < "ɐ" and a.isupper() and b.islower() and len(core) > 1 and core[0] != a:
-            cost += 0.5
+            cost += 1.5 if core[1] == a and not core[0].isascii() and core[0].isupper() else 0.5  # two foreign capitals at the head
         if a in "’”“™‘„‚†‡‰‹›…ˆ˜" and a not in "’‘" and b.isalpha() and core[0] != a:
             cost += 1
     if kana and (latin or cyrillic) or 0 < kana < 2 and len(letters) > kana:
         cost += 2 * kana
     if cyrillic and latin:
         cost += 2 * min(cyrillic, latin)
-    if accented >= 2 and accented > 0.5 * len(letters) and not (len(letters) < 5 and core.isupper()):
+    if accented >= 2 and accented > 0.5 * len(letters) and not (len(letters) < 5 and core.isupper()) and PACKED.search(core):  # été isn't
         cost += 1.5 * accented - 1.5
     if cyrillic >= 3 and letters[0].islower() and sum(c.isupper() for c in letters) > 0.6 * len(letters):
         cost += 1.0 * cyrillic  # as if KOI8 letters were read as Windows ones
@@ -246,7 +249,8 @@ LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
 def garbled(text: str) -> tuple[str, list[str], bool]:
-    """(restored text, layers, affected): affected also if characters are lost for good."""
+    """(restored text, layers, affected). A lost character (U+FFFD, a C1 control) is a garbling cost no round trip can
+    lower: the text is affected then, whether or not anything else could be restored."""
     new, layers = restore(text)
     return new, layers, bool(layers) or bool(LOST.search(text))
 
