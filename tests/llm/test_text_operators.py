@@ -57,9 +57,9 @@ def test_short_accented_words_stay():
 
 def test_layers_have_no_limit():
     text = bad = "La pâte brisée était cachée à l'hôtel"
-    for _ in range(8):
+    for _ in range(12):
         bad = "".join(mojibake._chars("cp1252")[b] if b > 127 else chr(b) for b in bad.encode())
-    assert mojibake.garbled(bad)[:2] == (text, ["utf-8 as cp1252"] * 8)
+    assert mojibake.garbled(bad)[0] == text
 
 
 def test_cost_on_texts_of_another_source(spark):
