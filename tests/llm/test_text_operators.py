@@ -21,6 +21,20 @@ def test_lookalikes_found(spark):
     assert found(spark, []) == []
 
 
+def test_dominant_script_decides():
+    first = lambda word: [(b, k) for _, b, _, k in lookalikes.token_repairs(word)]
+    assert first("роcа") == [("роса", 0), ("poca", 1)]  # three Cyrillic letters, one Latin
+    assert first("сopa") == [("copa", 0), ("сора", 1)] and first("sоme") == [("some", 0)] and first("спасибo") == [("спасибо", 0)]
+    assert first("plain") == first("спасибо") == first("") == []
+
+
+def test_words_of_another_script_are_restored(spark):
+    df = spark.createDataFrame([("s", 1, "холодная роса", "x"), ("s", 2, "роcа", "x"), ("s", 3, "а cope", "x"), ("s", 4, "cоре", "x"), ("s", 5, "роcа", "x"), (None, None, "роcа", "x")], TXT)
+    out = {(r.tbl, r.row_id): (r.unified, r.n_repaired) for r in lookalikes.unify(df).collect()}
+    assert out["s", 2] == out["s", 5] == out[None, None] == ("роса", 1) and out["s", 1] == ("холодная роса", 0) and out["s", 4] == ("cope", 1) and len(out) == 6
+    assert sorted((r.tbl or "", r.row_id or 0) for r in lookalikes.find_lookalikes(df).collect()) == [("", 0), ("s", 2), ("s", 4), ("s", 5)]
+
+
 def test_unified_forms_are_equal(spark):
     df = spark.createDataFrame([("s", 1, "some cat", "x"), ("s", 2, "sоme cat", "x"), ("s", 3, "ｓｏｍｅ c​at", "x"), ("s", 4, None, "x"), ("s", 5, "", "x"), ("s", 6, "qоzz", "x")], TXT)
     out = {r.row_id: r.unified for r in lookalikes.unify(df).collect()}

@@ -1,9 +1,10 @@
 """Visually identical text with different characters: script-aware repair.
 
 Invisible characters are dropped, odd spaces become plain ones, compatibility forms and decomposed accents are
-composed. Then each token's dominant script is determined; in a token of mixed scripts the look-alikes of
-the minority are substituted, and the result stands if the corpus knows it as a word. Only rows with a
-character outside ASCII reach Python; the vocabulary is counted in the JVM over every row.
+composed. Then each token's dominant script is determined: that of the letters without a twin in another script, else
+that of most letters. In a token of mixed scripts the look-alikes are substituted by those of the dominant script, and
+the result stands if the corpus knows it as a word. Only rows with a character outside ASCII reach Python, and once;
+the vocabulary is looked up in the JVM over every row.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.staging import spread
+from turnloom.functions.staging import lookup_join, spread, stage
 
 # Letters of other scripts drawn like Latin ones, in the order of the Latin alphabet.
 LATIN_OF = {
@@ -42,7 +43,8 @@ BLANKS = "͏ᅟᅠ឴឵᠋᠌᠍⠀ㅤﾠ"
 #: Kinds of compatibility mapping whose characters pass for the ordinary ones.
 PASSING = ("<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-FOUND = "tbl string, row_id bigint, plain boolean, tokens array<struct<token:string,repaired:string,mixed:boolean>>"
+TOKENS = "array<struct<token:string,repaired:string,mixed:boolean,rank:int>>"
+CHECKED = f"tbl string, row_id bigint, txt string, key bigint, form string, plain boolean, tokens {TOKENS}"
 
 
 @lru_cache(maxsize=4096)
@@ -102,72 +104,76 @@ def plain_form(text: str) -> tuple[str, bool]:
     return composed, odd or composed != joined
 
 
-def token_repairs(text: str) -> list[tuple[str, str, bool]]:
-    """(token, repaired, mixed) of each word that look-alikes may have got into. ``mixed`` says that its letters
-    are of several scripts; a word wholly of look-alikes is only a candidate."""
+def token_repairs(text: str) -> list[tuple[str, str, bool, int]]:
+    """(token, repaired, mixed, rank) of each word that look-alikes may have got into. ``mixed`` says that its letters are
+    of several scripts; a word wholly of look-alikes is only a candidate. Rank 0 is the word in its dominant script: the
+    one of the letters that no other script has a twin of, else the one of most letters. Where every letter has a twin,
+    the word in the other script follows as rank 1."""
     found = []
     for m in WORD.finditer(text):
         word = m[0]
         letters = [c for c in word if c.isalpha()]
-        foreign = [c for c in letters if not c.isascii() and c in LATIN_OF]
         scripts = {script(c) for c in letters}
         if scripts == {"LATIN"} or not letters:
             continue
-        counts = {s: sum(script(c) == s for c in letters) for s in scripts}
-        dominant = max(sorted(counts), key=lambda s: (counts[s], s == "LATIN"))
-        rest = [c for c in letters if script(c) != "LATIN"]
-        if len(foreign) == len(rest):  # every letter that isn't Latin has a Latin twin
-            found.append((word, "".join(LATIN_OF.get(c, c) for c in word), len(scripts) > 1))
-        elif len(scripts) > 1 and dominant in ("CYRILLIC", "GREEK"):
-            back = CYRILLIC_OF if dominant == "CYRILLIC" else GREEK_OF
-            if all(c in back for c in letters if script(c) == "LATIN"):
-                found.append((word, "".join(back.get(c, c) for c in word), True))
+        ways = []  # (letters that need no substitution and have no twin, letters of the script, word)
+        for name, twins in (("LATIN", LATIN_OF), ("CYRILLIC", CYRILLIC_OF), ("GREEK", GREEK_OF)):
+            if name != "LATIN" and name not in scripts:
+                continue
+            if all(script(c) == name or c in twins for c in letters):
+                own = [c for c in letters if script(c) == name]
+                other = CYRILLIC_OF.keys() | GREEK_OF.keys() if name == "LATIN" else LATIN_OF.keys()
+                ways.append((sum(c not in other for c in own), len(own), "".join(twins.get(c, c) if script(c) != name else c for c in word)))
+        ways.sort(key=lambda w: (-w[0], -w[1]))
+        found += [(word, w, len(scripts) > 1, k) for k, w in enumerate(x for *_, x in ways if x != word)]
     return found
 
 
 def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string()), ("mixed", pa.bool_())]))
+    kind = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string()), ("mixed", pa.bool_()), ("rank", pa.int32())]))
+    names = ("token", "repaired", "mixed", "rank")
     for batch in batches:
-        plain, tokens = [], []
-        for text in batch.column("txt").to_pylist():
-            new, odd = plain_form(text)
-            plain.append(odd)
-            tokens.append([{"token": a, "repaired": b, "mixed": c} for a, b, c in token_repairs(new)])
-        yield pa.RecordBatch.from_arrays([batch.column("tbl"), batch.column("row_id"), pa.array(plain, pa.bool_()), pa.array(tokens, kind)], names=["tbl", "row_id", "plain", "tokens"])
+        forms = [plain_form(t) for t in batch.column("txt").to_pylist()]
+        tokens = [[dict(zip(names, x)) for x in token_repairs(f)] for f, _ in forms]
+        cols = [*(batch.column(c) for c in ("tbl", "row_id", "txt", "key")), pa.array([f for f, _ in forms], pa.string()), pa.array([odd for _, odd in forms], pa.bool_()), pa.array(tokens, kind)]
+        yield pa.RecordBatch.from_arrays(cols, names=["tbl", "row_id", "txt", "key", "form", "plain", "tokens"])
+
+
+ODD = r"[^\x20-\x7e\t\n\r]"
 
 
 def words(texts: DataFrame) -> DataFrame:
-    """The distinct words of one script in the corpus, in lower case; combined before they are shuffled."""
+    """Every word of one script in the corpus, in lower case."""
     parts = F.explode(F.split(F.lower("txt"), r"[^\p{L}\p{M}'’]+")).alias("word")
     one = F.col("word").rlike(r"^[\p{IsLatin}\p{M}'’]+$") | F.col("word").rlike(r"^[\p{IsCyrillic}\p{M}'’]+$") | F.col("word").rlike(r"^[\p{IsGreek}\p{M}'’]+$")
-    return texts.select(parts).where(one).distinct()
-
-
-def inspect(texts: DataFrame) -> DataFrame:
-    """(tbl, row_id, plain, tokens) of each row with a character outside printable ASCII."""
-    odd = texts.where(F.col("txt").rlike(r"[^\x20-\x7e\t\n\r]"))
-    return spread(odd.select("tbl", "row_id", "txt")).mapInArrow(_inspect, FOUND)
+    return texts.select(parts).where(one)
 
 
 def known_repairs(checked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(token, repaired) of the candidate tokens whose repaired form the corpus has as a word."""
-    candidates = checked.select(F.explode("tokens").alias("t")).select("t.token", "t.repaired").distinct()
-    return candidates.withColumn("word", F.lower("repaired")).join(words(texts), "word", "left_semi").select("token", "repaired")
+    """(token, repaired) of the candidate tokens: the best repair that the corpus has as a word."""
+    candidates = checked.select(F.explode("tokens").alias("t")).select("t.token", "t.repaired", "t.rank", F.lower("t.repaired").alias("word")).distinct()
+    # The candidates are few beside the corpus: its words are cut down to them before anything is shuffled.
+    met = lookup_join(words(texts), candidates.select("word").distinct(), ["word"], "left_semi").distinct()
+    return candidates.join(met, "word", "left_semi").groupBy("token").agg(F.min_by("repaired", "rank").alias("repaired"))
 
 
 def find_lookalikes(texts: DataFrame) -> DataFrame:
     """(tbl, row_id) of the rows with invisible or look-alike characters, each once.
 
     ``texts`` has tbl, row_id and txt. A row counts for an invisible, compatibility or decomposed character, for a
-    token of mixed scripts made up of look-alikes, and for a token wholly of look-alikes if the corpus has the
-    word they spell. Null and empty texts are no cases, nor are words truly of another script, curly quotes,
-    dashes and ellipses. Rows that come twice count once; a null row_id is kept as it is.
+    token of mixed scripts whose minority letters are all look-alikes (whether or not the corpus knows the word: the
+    characters are what they are), and for a token wholly of look-alikes if the corpus has the word they spell. Null
+    and empty texts are no cases, nor are words truly of another script, curly quotes, dashes and ellipses. Rows that
+    come twice count once; a null row_id is kept as it is.
     """
-    checked = inspect(texts.select("tbl", "row_id", "txt"))
-    sure = checked.where(F.col("plain") | F.exists("tokens", lambda t: t["mixed"])).select("tbl", "row_id")
-    twins = checked.where(~F.col("plain") & (F.size("tokens") > 0) & ~F.exists("tokens", lambda t: t["mixed"]))
+    odd = texts.select("tbl", "row_id", "txt").where(F.col("txt").rlike(ODD))
+    inspected = spread(odd.withColumn("key", F.lit(0).cast("bigint"))).mapInArrow(_inspect, CHECKED).drop("form", "txt")
+    checked = stage(inspected.where(F.col("plain") | (F.size("tokens") > 0)), "lookalikes")
+    mixed = F.exists("tokens", lambda t: t["mixed"])
+    sure = checked.where(F.col("plain") | mixed).select("tbl", "row_id")
+    twins = checked.where(~F.col("plain") & ~mixed)
     tokens = twins.select("tbl", "row_id", F.explode("tokens").alias("t")).select("tbl", "row_id", "t.token")
-    spelled = tokens.join(known_repairs(twins, texts).select("token").distinct(), "token", "left_semi").select("tbl", "row_id")
+    spelled = tokens.join(known_repairs(twins, texts).select("token"), "token", "left_semi").select("tbl", "row_id")
     return sure.unionByName(spelled).distinct()
 
 
@@ -178,23 +184,15 @@ def unify(texts: DataFrame) -> DataFrame:
     knows the result as a word; other tokens stay. Null stays null, an empty text empty.
     """
     base = texts.select("tbl", "row_id", "txt").distinct().withColumn("key", F.xxhash64("tbl", "row_id", "txt"))
-    plain = base.where(F.coalesce(~F.col("txt").rlike(r"[^\x20-\x7e\t\n\r]"), F.lit(True))).select("tbl", "row_id", "txt", F.col("txt").alias("unified"), F.lit(0).alias("n_repaired"))
-    odd = base.where(F.col("txt").rlike(r"[^\x20-\x7e\t\n\r]"))
-    checked = odd.select("tbl", "row_id", "txt", "key").mapInArrow(_with_form, "tbl string, row_id bigint, txt string, form string, tokens array<struct<token:string,repaired:string>>")
-    pairs = checked.withColumn("t", F.explode_outer("tokens")).select("tbl", "row_id", "txt", "form", "t.token", "t.repaired")
-    known = known_repairs(checked, texts).withColumn("known", F.lit(True)).distinct()
-    joined = pairs.join(known, ["token", "repaired"], "left")
-    fixes = joined.groupBy("tbl", "row_id", "txt", "form").agg(F.collect_set(F.when(F.col("known"), F.struct("token", "repaired"))).alias("fixes"))
-    done = fixes.mapInArrow(_apply, "tbl string, row_id bigint, txt string, unified string, n_repaired int")
-    return plain.unionByName(done)
-
-
-def _with_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string())]))
-    for batch in batches:
-        forms = [plain_form(t)[0] for t in batch.column("txt").to_pylist()]
-        tokens = [[{"token": a, "repaired": b} for a, b, _ in token_repairs(f)] for f in forms]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("tbl", "row_id", "txt")] + [pa.array(forms, pa.string()), pa.array(tokens, kind)], names=["tbl", "row_id", "txt", "form", "tokens"])
+    fine = F.coalesce(~F.col("txt").rlike(ODD), F.lit(True))
+    plain = base.where(fine).select("tbl", "row_id", "txt", F.col("txt").alias("unified"), F.lit(0).alias("n_repaired"))
+    checked = stage(base.where(~fine).mapInArrow(_inspect, CHECKED).drop("plain"), "lookalikes")
+    tokens = checked.select("key", F.explode("tokens").alias("t")).select("key", "t.token").distinct()
+    fixes = tokens.join(known_repairs(checked, texts), "token").groupBy("key").agg(F.collect_list(F.struct("token", "repaired")).alias("fixes"))
+    fixed = checked.drop("tokens").join(fixes, "key", "left")
+    done = fixed.where("fixes is null").select("tbl", "row_id", "txt", F.col("form").alias("unified"), F.lit(0).alias("n_repaired"))
+    mended = fixed.where("fixes is not null").select("tbl", "row_id", "txt", "form", "fixes").mapInArrow(_apply, "tbl string, row_id bigint, txt string, unified string, n_repaired int")
+    return plain.unionByName(done).unionByName(mended)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
