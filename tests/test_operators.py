@@ -167,13 +167,13 @@ def test_cascade_against_the_fold(spark):
         for i in range(rng.randint(3, 14)):
             if rng.random() < 0.25:
                 scene = rng.choice([scene + 1, max(1, scene - 1)]) if e % 3 == 0 else scene + 1
-            rows.append((len(rows), f"e{e}", scene, i, rng.choice(texts), rng.choice(["Ann", "Bob", "Cy", "", "", None]), ""))
+            rows.append((len(rows), f"e{e}", None if rng.random() < 0.08 else scene, i, rng.choice(texts), rng.choice(["Ann", "Bob", "Cy", "", "", None]), ""))
     base = impute.direct_fill(spark.createDataFrame(rows, FILL))
-    got = {r.sent_id: (r.speaker, r.speaker_method) for r in impute.cascade(base, ["episode"], "sentence_id").collect()}
+    got = {r.sent_id: (r.speaker, r.speaker_method, r.speaker_confidence, r.alignment_score, r.review_flag, r.review_reason, r.notes) for r in impute.cascade(base, ["episode"], "sentence_id").collect()}
     pdf = base.withColumns({"wc": T.word_count(F.col("utterance")), "norm": T.normalize_rule(F.col("utterance"))}).toPandas()
     for _, g in pdf.groupby("episode"):
         for r in impute.fold_rows(g.sort_values("sentence_id")).itertuples():
-            assert got[r.sent_id] == (r.speaker, r.fill_method), r
+            assert got[r.sent_id] == (r.speaker, *(impute.outcome(r.fill_rule, impute.Rules().scores) if r.fill_rule else ("", "", 0.0, False, "", ""))), r
 
 
 def test_direct_fill_and_review(spark):
@@ -201,10 +201,31 @@ def test_quality_stages(spark):
     rows, logs = qa.run_all(df, ["episode"], "sentence_id")
     out = {r.sent_id: r for r in rows.collect()}
     assert [out[i].speaker for i in range(4)] == ["A", "A", "A", "D"] and not out[3].review_flag
-    assert out[1].notes.startswith("QA correction") and sum(x.count() for x in logs) == 2
+    assert out[1].notes == "QA correction: surrounded by same speaker within scene" and out[1].speaker_method == "qa_scene_bridge_override" and sum(x.count() for x in logs) == 2
     assert qa.run_all(df.limit(0), ["episode"], "sentence_id")[0].count() == 0
 
 
+def test_quality_summary(spark):
+    df = spark.createDataFrame(qa_rows(["A", "B", "A", "C", ""], {3: "D"}), QA)
+    rows, (one, two) = qa.run_all(df, ["episode"], "sentence_id")
+    files = qa.summary(df, rows, one.unionByName(two), ["episode"])
+    r = files.collect()[0]
+    assert (r.rows, r.review_rows_before_qa, r.speaker_ct_overrides, r.scene_bridge_fixes, r.scene_anomaly_fixes, r.remaining_unresolved_rows) == (5, 5, 1, 1, 0, 1)
+    whole = qa.summary_rollup(files).collect()[0]
+    assert whole.files_processed == 1 and whole.total_rows == 5 and qa.summary_rollup(files.limit(0)).collect()[0].total_rows == 0
+
+
+def test_unsupported_speaker_takes_its_own_reason(spark):
+    rows = [(0, "e", 1, 0, "a b c d e f", "A", "A", "high", "x", 1.0, False, "", ""), (1, "e", 1, 1, "a b c d e f", "B", "C", "low", "x", 0.5, True, "", ""), (2, "e", 1, 2, "a b c d e f", "A", "A", "high", "x", 1.0, False, "", "")]
+    df = spark.createDataFrame(rows + [(9, "e", None, 9, "yes", "Z", "", "low", "x", 0.1, True, "", "")], QA)
+    out = {r.sent_id: (r.new_speaker, r.fix, r.qa_reason) for r in qa.scene_corrections(df, ["episode"], "sentence_id").collect()}
+    assert out[9] == (None, "", None) and out[0] == (None, "", None)
+    assert out[1] == ("A", "unsupported", qa.CORRECTIONS["unsupported"][1])
+    rows[1] = (*rows[1][:6], "", *rows[1][7:])
+    out = {r.sent_id: (r.new_speaker, r.fix) for r in qa.scene_corrections(spark.createDataFrame(rows, QA), ["episode"], "sentence_id").collect()}
+    assert out[1] == ("A", "anomaly")
+
+
 def test_alignment_kernel():
     sim = align.similarity_matrix(["we go home", "yes", "so long then"], ["hello", "we go home", "so long then", "bye"])
     assert align.best_path(sim) == [(0, 1), (2, 2)]

@@ -7,7 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 
 def tokens(normal: Column) -> Column:
@@ -96,3 +96,9 @@ def without_best_span(source: str, removed: str, least: float = 0.55) -> str:
             if s > best:
                 best, cut = s, (i, i + size)
     return " ".join(words[: cut[0]] + words[cut[1] :]) if best >= least else " ".join(words)
+
+
+@F.pandas_udf(StringType())
+def span_removed(source: pd.Series, removed: pd.Series) -> pd.Series:
+    """``without_best_span`` of two columns; null counts as empty."""
+    return pd.Series([without_best_span(x or "", y or "") for x, y in zip(source, removed)], dtype="object")

@@ -49,11 +49,20 @@ def plain_quotes(text: Column) -> Column:
     return F.translate(text, "’‘“”", "''\"\"")
 
 
+def match_form(composed: Column) -> Column:
+    """``normalize_for_match`` of a text that is already composed and has straight quotes."""
+    return collapse(F.regexp_replace(F.regexp_replace(strip(F.lower(composed)), BRACKETS, " "), r"[^a-z0-9' ]", " "))
+
+
+def match_form(composed: Column) -> Column:
+    """``normalize_for_match`` of a text that is already composed and has straight quotes."""
+    return collapse(F.regexp_replace(F.regexp_replace(strip(F.lower(composed)), BRACKETS, " "), r"[^a-z0-9' ]", " "))
+
+
 def normalize_for_match(text: Column) -> Column:
     """The form two spellings of a line are compared in: compatibility-composed, lower case, without bracketed
     remarks, only a-z, 0-9 and apostrophes. Null becomes the empty string."""
-    lowered = strip(F.lower(plain_quotes(nfkc(text))))
-    return F.coalesce(collapse(F.regexp_replace(F.regexp_replace(lowered, BRACKETS, " "), r"[^a-z0-9' ]", " ")), F.lit(""))
+    return F.coalesce(match_form(plain_quotes(nfkc(text))), F.lit(""))
 
 
 def normalize_speaker(name: Column) -> Column:
@@ -102,11 +111,11 @@ def confidence_bucket(similarity: Column, matched: Column) -> Column:
 
 
 def split_chunks(text: Column) -> Column:
-    """array<struct<raw,norm>> of the sentence-like chunks of a line: cut at . ! ? ; after brackets are dropped.
-    If nothing but one unbroken text is left, that is the only chunk; an empty text has none."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), BRACKETS, " ")
+    """array<struct<raw,norm>> of the sentence-like chunks of a line: compatibility-composed, cut at . ! ? ; after brackets
+    are dropped; pieces without a word are left out."""
+    bare = F.regexp_replace(F.coalesce(plain_quotes(nfkc(text)), F.lit("")), BRACKETS, " ")
     parts = F.transform(F.split(F.replace(bare, F.lit("..."), F.lit(". ")), r"[.!?;]+"), lambda p: F.regexp_replace(collapse(p), r"^[ ,:\-]+|[ ,:\-]+$", ""))
-    both = F.transform(parts, lambda p: F.struct(p.alias("raw"), normalize_rule(p).alias("norm")))
+    both = F.transform(parts, lambda p: F.struct(p.alias("raw"), match_form(p).alias("norm")))
     return F.filter(both, lambda c: c["norm"] != "")
 
 

@@ -7,6 +7,7 @@ length. The fills are folds over an episode's rows that only look at neighbours.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -20,33 +21,38 @@ ALIGNED = "sent_idx bigint, dialogue_idx bigint, sim double"
 
 
 def similarity_matrix(left: list[str], right: list[str]) -> np.ndarray:
-    """Similarities of all pairs; each distinct pair is compared once."""
-    return np.array([[text_similarity(a, b) for b in right] for a in left], dtype=float).reshape(len(left), len(right))
+    """Similarities of all pairs; each distinct pair of texts is compared once."""
+    rows, cols = {t: i for i, t in enumerate(dict.fromkeys(left))}, {t: i for i, t in enumerate(dict.fromkeys(right))}
+    if not rows or not cols:
+        return np.zeros((len(left), len(right)))
+    once = np.array([[text_similarity(a, b) for b in cols] for a in rows], dtype=float)
+    return once[np.ix_([rows[t] for t in left], [cols[t] for t in right])]
 
 
-def best_path(sim: np.ndarray, skip_left: float = 0.6, skip_right: float = 0.2, bonus: np.ndarray | None = None) -> list[tuple[int, int]]:
+# Worth of a pair and the similarity it starts from, prices of skipping a sentence and a line, bonus of equal
+# and of different speakers.
+PAIR_WORTH, PAIR_FROM, SKIP_LEFT, SKIP_RIGHT, SAME_SPEAKER, OTHER_SPEAKER = 2.2, 0.45, 0.6, 0.2, 0.35, -0.05
+
+
+def best_path(sim: np.ndarray, skip_left: float = SKIP_LEFT, skip_right: float = SKIP_RIGHT, bonus: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs (left, right) of the best order-preserving alignment. Rows before the first and after the last pair of the
     right side are free; pairing is worth 2.2 times what the similarity exceeds 0.45 by, plus a bonus; of equal moves
-    pairing comes before skipping left, and that before skipping right."""
+    pairing comes before skipping left, and that before skipping right. The table is filled a diagonal at a time, as
+    its cells need only those of the two before."""
     n, m = sim.shape
-    gain = (sim - 0.45) * 2.2 + (bonus if bonus is not None else 0.0)
-    above = np.zeros(m + 1)
+    gain = (sim - PAIR_FROM) * PAIR_WORTH + (bonus if bonus is not None else 0.0)
+    score = np.zeros((n + 1, m + 1))
     move = np.zeros((n + 1, m + 1), dtype=np.int8)
     for i in range(1, n + 1):
-        row = np.empty(m + 1)
-        row[0] = above[0] - skip_left
-        diag, up = above[:-1] + gain[i - 1], above[1:] - skip_left
-        for j in range(1, m + 1):
-            left = row[j - 1] - skip_right
-            d, u = diag[j - 1], up[j - 1]
-            if d >= u and d >= left:
-                row[j], move[i, j] = d, 1
-            elif u >= left:
-                row[j], move[i, j] = u, 2
-            else:
-                row[j], move[i, j] = left, 3
-        above = row
-    i, j, pairs = n, int(np.argmax(above)), []
+        score[i, 0] = score[i - 1, 0] - skip_left
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        pair, up, left = score[i - 1, j - 1] + gain[i - 1, j - 1], score[i - 1, j] - skip_left, score[i, j - 1] - skip_right
+        best = np.maximum(np.maximum(pair, up), left)
+        score[i, j] = best
+        move[i, j] = np.where(pair == best, 1, np.where(up == best, 2, 3))
+    i, j, pairs = n, int(np.argmax(score[n])), []
     while i and j:
         if move[i, j] == 1:
             pairs.append((i - 1, j - 1))
@@ -60,7 +66,7 @@ def best_path(sim: np.ndarray, skip_left: float = 0.6, skip_right: float = 0.2,
 
 def speaker_bonus(left: list[str], right: list[str]) -> np.ndarray:
     """0.35 where two normalised speakers are equal, -0.05 where both are there and differ."""
-    return np.array([[0.35 if a and a == b else -0.05 if a and b else 0.0 for b in right] for a in left], dtype=float).reshape(len(left), len(right))
+    return np.array([[SAME_SPEAKER if a and a == b else OTHER_SPEAKER if a and b else 0.0 for b in right] for a in left], dtype=float).reshape(len(left), len(right))
 
 
 def align_monotonic(sentences: DataFrame, lines: DataFrame, entity: list[str], with_speakers: bool = False) -> DataFrame:
@@ -84,10 +90,15 @@ def align_monotonic(sentences: DataFrame, lines: DataFrame, entity: list[str], w
     return sentences.select(*columns).groupBy(*entity).cogroup(lines.select(*columns).groupBy(*entity)).applyInPandas(run, f"{kinds}, {ALIGNED}")
 
 
+def length_ratio(local_norm: Column, line_norm: Column) -> Column:
+    """Words of the sentence over words of the line; 0 for a line without words."""
+    words = lambda c: F.size(F.filter(F.split(c, " "), lambda t: t != ""))
+    return F.when(words(line_norm) > 0, words(local_norm) / words(line_norm)).otherwise(0.0)
+
+
 def length_ok(local_norm: Column, line_norm: Column, cap: float = 5.0) -> Column:
     """The sentence has at most ``cap`` times the line's words; true for a line without words."""
-    words = lambda c: F.size(F.filter(F.split(c, " "), lambda t: t != ""))
-    return F.when(words(line_norm) == 0, True).otherwise(words(local_norm) / words(line_norm) <= cap)
+    return length_ratio(local_norm, line_norm) <= cap
 
 
 def accepted(sim: Column, threshold: float, speakers_equal: Column) -> Column:
@@ -107,12 +118,11 @@ def map_speakers(sentences: DataFrame, lines: DataFrame, aligned: DataFrame, key
 
 
 def chunks_of(line: str) -> list[tuple[str, str]]:
-    """(raw, normal) of the sentence-like chunks of a typed line."""
-    bare = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", line or "").replace("...", ". ")
+    """(raw, normal) of the sentence-like chunks of a typed line, as ``text.split_chunks`` cuts it."""
+    composed = unicodedata.normalize("NFKC", line or "").translate({0x2019: "'", 0x2018: "'", 0x201C: '"', 0x201D: '"'})
+    bare = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", composed).replace("...", ". ")
     parts = [re.sub(r"\s+", " ", p).strip(" ,:-") for p in re.split(r"[.!?;]+", bare)]
-    found = [(p, norm_of(p)) for p in parts if norm_of(p)]
-    whole = re.sub(r"\s+", " ", bare).strip()
-    return found or ([(whole, norm_of(whole))] if norm_of(whole) else [])
+    return [(p, norm_of(p)) for p in parts if norm_of(p)]
 
 
 def norm_of(text: str | None) -> str:

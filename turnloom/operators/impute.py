@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom import schemas
 from turnloom.functions import text as T
+from turnloom.functions.staging import stage
 from turnloom.operators.sequence import prev_next_speaker, scene_runs
 
 
@@ -32,6 +33,31 @@ class Rules:
         return cls(tuple(data["rules"]["song_markers"]), tuple(data["rules"]["continuation_prefixes"]), {k: float(v) for k, v in data["scores"].items()})
 
 
+# What each rule writes. Method, confidence, key of its score and what is added to it, review, reason, note.
+OUTCOMES = {
+    "song": ("non_dialogue_rule", "high", "ct_match", -0.02, False, "", "Marked as song lyric rather than scene dialogue."),
+    "bridge": ("scene_context_bridge", "high", "high_bridge", 0.0, False, "", "Same speaker appears on both sides within the same scene."),
+    "names_previous": ("name_address_rule", "medium", "name_address", 0.0, False, "", "Utterance names the previous speaker, so the next speaker is more likely."),
+    "names_next": ("name_address_rule", "medium", "name_address", 0.0, False, "", "Utterance names the next speaker, so the previous speaker is more likely."),
+    "short": ("short_turn_alternation", "medium", "short_turn", 0.0, True, "short_utterance_between_two_speakers", "Short utterance inferred from local turn alternation."),
+    "opener": ("scene_context_inference", "medium", "scene_context", 0.03, False, "", "Continuation-style opener favors previous speaker within the same scene."),
+    "end": ("scene_context_inference", "medium", "scene_context", 0.0, False, "", "Filled from previous same-scene context."),
+    "end_short": ("scene_context_inference", "medium", "scene_context", 0.0, True, "scene_end_short_utterance", "Filled from previous same-scene context."),
+    "start": ("scene_context_inference", "medium", "scene_context", 0.0, False, "", "Filled from next same-scene context."),
+    "start_short": ("scene_context_inference", "medium", "scene_context", 0.0, True, "scene_start_short_utterance", "Filled from next same-scene context."),
+    "long": ("scene_context_inference", "medium", "long_ambiguous", 0.0, True, "two_sided_context_ambiguous", "No direct transcript match; longer line defaulted to previous speaker in same scene."),
+    "weak": ("scene_context_inference", "low", "weak_ambiguous", 0.0, True, "two_sided_context_ambiguous", "No direct transcript match; weak local context only."),
+    "majority": ("scene_majority_fallback", "low", "scene_majority", 0.0, True, "scene_majority_fallback", "Fallback to most common known speaker in the scene."),
+}
+DIRECTION_NOTE, BLANK_NOTE = "Stage direction or sound cue kept without speaker.", "No reliable automatic assignment available."
+
+
+def outcome(name: str, scores: dict[str, float]) -> tuple[str, str, float, bool, str, str]:
+    """(method, confidence, score, review, reason, note) of a rule."""
+    method, confidence, key, more, review, reason, note = OUTCOMES[name]
+    return method, confidence, scores[key] + more, review, reason, note
+
+
 def direct_fill(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Blank speakers from the typed transcript, and rows stamped where both agree. Needs utterance, speaker, speaker_ct;
     adds speaker_original, row_type, matched_to_ct, filled_from_missing, speaker_method, speaker_confidence,
@@ -85,31 +111,32 @@ def rule_cascade(rows: DataFrame, entity: list[str], pos: str, rules: Rules = Ru
     for x in rules.continuation_prefixes:
         opener = opener | norm.startswith(x)
 
-    def rule(who, method, confidence, score, review, reason=""):
-        return F.struct(who.alias("who"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"), F.lit(score).alias("score"), (review if not isinstance(review, bool) else F.lit(review)).alias("review"), (reason if not isinstance(reason, str) else F.lit(reason)).alias("reason"))
+    def rule(who, name):
+        fields = ("method", "confidence", "score", "review", "reason", "note")
+        return F.struct(who.alias("who"), *[F.lit(v).alias(f) for f, v in zip(fields, outcome(name, s))])
 
     short = wc <= 2
     choice = (
-        F.when(F.col("_song"), rule(F.lit("Song"), "non_dialogue_rule", "high", s["ct_match"] - 0.02, False))
-        .when(both & (p == n), rule(p, "scene_context_bridge", "high", s["high_bridge"], False))
-        .when(both & named(p) & ~named(n), rule(n, "name_address_rule", "medium", s["name_address"], False))
-        .when(both & named(n) & ~named(p), rule(p, "name_address_rule", "medium", s["name_address"], False))
-        .when(short & both, rule(n, "short_turn_alternation", "medium", s["short_turn"], True, "short_utterance_between_two_speakers"))
-        .when(p.isNotNull() & opener, rule(p, "scene_context_inference", "medium", s["scene_context"] + 0.03, False))
-        .when(p.isNotNull() & n.isNull(), rule(p, "scene_context_inference", "medium", s["scene_context"], short, F.when(short, "scene_end_short_utterance").otherwise("")))
-        .when(n.isNotNull() & p.isNull(), rule(n, "scene_context_inference", "medium", s["scene_context"], short, F.when(short, "scene_start_short_utterance").otherwise("")))
-        .when(both & (wc >= 5), rule(p, "scene_context_inference", "medium", s["long_ambiguous"], True, "two_sided_context_ambiguous"))
-        .when(both, rule(n, "scene_context_inference", "low", s["weak_ambiguous"], True, "two_sided_context_ambiguous"))
+        F.when(F.col("_song"), rule(F.lit("Song"), "song"))
+        .when(both & (p == n), rule(p, "bridge"))
+        .when(both & named(p) & ~named(n), rule(n, "names_previous"))
+        .when(both & named(n) & ~named(p), rule(p, "names_next"))
+        .when(short & both, rule(n, "short"))
+        .when(p.isNotNull() & opener, rule(p, "opener"))
+        .when(p.isNotNull() & n.isNull(), F.when(short, rule(p, "end_short")).otherwise(rule(p, "end")))
+        .when(n.isNotNull() & p.isNull(), F.when(short, rule(n, "start_short")).otherwise(rule(n, "start")))
+        .when(both & (wc >= 5), rule(p, "long"))
+        .when(both, rule(n, "weak"))
     )
     c = b.withColumn("_c", F.when(F.col("_todo"), choice))
     took_next = F.when(F.col("_todo") & ~F.col("_song") & n.isNotNull() & (F.col("_c.who") == n) & (p.isNull() | (p != n)), F.col(pos))
     c = c.withColumn("_first", F.min(took_next).over(W.partitionBy(*run, "_gap")))
     later = F.col("_todo") & ~F.col("_song") & (F.col(pos) > F.col("_first"))
-    final = F.when(later, rule(n, "scene_context_bridge", "high", s["high_bridge"], False)).otherwise(F.col("_c"))
+    final = F.when(later, rule(n, "bridge")).otherwise(F.col("_c"))
     c = c.withColumn("_f", final)
     hit = F.col("_todo") & F.col("_f.who").isNotNull()
     pick = lambda name, old: F.when(hit, F.col(f"_f.{name}")).otherwise(F.col(old))
-    out = c.withColumns({"speaker": F.coalesce("_known", F.col("_f.who"), F.lit("")), "filled_from_missing": F.col("filled_from_missing") | hit, "speaker_method": pick("method", "speaker_method"), "speaker_confidence": pick("confidence", "speaker_confidence"), "alignment_score": pick("score", "alignment_score"), "review_flag": pick("review", "review_flag"), "review_reason": pick("reason", "review_reason")})
+    out = c.withColumns({"speaker": F.coalesce("_known", F.col("_f.who"), F.lit("")), "filled_from_missing": F.col("filled_from_missing") | hit, "speaker_method": pick("method", "speaker_method"), "speaker_confidence": pick("confidence", "speaker_confidence"), "alignment_score": pick("score", "alignment_score"), "review_flag": pick("review", "review_flag"), "review_reason": pick("reason", "review_reason"), "notes": pick("note", "notes")})
     return out.drop("_known", "_song", "_todo", "_stop", "_p", "_n", "_gap", "_first", "_c", "_f", "_norm", "_wc", "run")
 
 
@@ -124,6 +151,7 @@ def stamp_review(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
             "alignment_score": F.when(direction, rules.scores["direction"]).when(blank, 0.0).otherwise(F.col("alignment_score")),
             "review_flag": F.when(blank, True).otherwise(F.col("review_flag")),
             "review_reason": F.when(blank, "unresolved_no_reliable_inference").otherwise(F.col("review_reason")),
+            "notes": F.when(direction, DIRECTION_NOTE).when(blank, BLANK_NOTE).otherwise(F.col("notes")),
         }
     )
     low = F.col("filled_from_missing") & (F.col("speaker_confidence") == "low")
@@ -158,80 +186,92 @@ def scene_speaker_set(rows: DataFrame, scene: list[str], pos: str) -> DataFrame:
 
 def fold_rows(pdf: pd.DataFrame, rules: Rules = Rules(), rounds: int = 3) -> pd.DataFrame:
     """The rules as an ordered fold over one file's rows: what the closed form is tested against, and what recurring
-    scenes need. Needs scene_id, utterance, speaker, row_type, wc, norm, in order."""
-    s, out = rules.scores, pdf.reset_index(drop=True).copy()
+    scenes need. Needs scene_id, utterance, speaker, row_type, wc, norm, in order; adds fill_rule, the name of the rule
+    that filled a row. Rows without a scene have no neighbours."""
+    out = pdf.reset_index(drop=True).copy()
     who, scene, kind = list(out.speaker.fillna("").str.strip()), list(out.scene_id), list(out.row_type)
+    norms, counts = list(out.norm), list(out.wc)
     run = list(out.run) if "run" in out else scene
-    method, score = [""] * len(out), [0.0] * len(out)
+    names = [""] * len(out)
+    alone = [x is None or x != x for x in scene]
+    heard: dict = {}  # of each scene the known speakers and how often, in the order of the rows that have them
+    for x, w in zip(scene, who):
+        if w:
+            heard.setdefault(x, {}).setdefault(w, 0)
+            heard[x][w] += 1
 
     def near(i: int, step: int) -> str:
         j = i + step
-        while 0 <= j < len(who) and run[j] == run[i]:
+        while 0 <= j < len(who) and not alone[i] and run[j] == run[i] and scene[j] == scene[i]:
             if who[j]:
                 return who[j]
             j += step
         return ""
 
-    def infer(i: int) -> tuple[str, str, float]:
+    def most(i: int) -> str:
+        """The most frequent speaker of the scene, of equals the one first in the scene."""
+        known = {} if alone[i] else heard.get(scene[i], {})
+        top = [w for w, k in known.items() if k == max(known.values())]
+        if len(top) > 1:
+            top = [next(w for w, x in zip(who, scene) if x == scene[i] and w in top)]
+        return top[0] if top else ""
+
+    def infer(i: int) -> tuple[str, str]:
         if kind[i] == "song":
-            return "Song", "non_dialogue_rule", s["ct_match"] - 0.02
-        p, n, norm, wc = near(i, -1), near(i, 1), out.norm[i], out.wc[i]
-        says = lambda x: bool(x) and f" {x.lower()} " in f" {norm} "
+            return "Song", "song"
+        p, n, norm, wc = near(i, -1), near(i, 1), norms[i], counts[i]
+        says = lambda x: f" {x.lower()} " in f" {norm} "
         if p and p == n:
-            return p, "scene_context_bridge", s["high_bridge"]
+            return p, "bridge"
         if p and n and says(p) != says(n):
-            return (n if says(p) else p), "name_address_rule", s["name_address"]
+            return (n, "names_previous") if says(p) else (p, "names_next")
         if wc <= 2 and p and n:
-            return n, "short_turn_alternation", s["short_turn"]
+            return n, "short"
         if p and norm.startswith(rules.continuation_prefixes):
-            return p, "scene_context_inference", s["scene_context"] + 0.03
+            return p, "opener"
         if p or n:
             if not (p and n):
-                return p or n, "scene_context_inference", s["scene_context"]
-            return (p, "scene_context_inference", s["long_ambiguous"]) if wc >= 5 else (n, "scene_context_inference", s["weak_ambiguous"])
-        others = [w for w, x in zip(who, scene) if x == scene[i] and w]
-        if others:
-            return max(dict.fromkeys(others), key=others.count), "scene_majority_fallback", s["scene_majority"]
-        return "", "", 0.0
+                return p or n, ("end" if p else "start") + ("_short" if wc <= 2 else "")
+            return (p, "long") if wc >= 5 else (n, "weak")
+        return most(i), "majority"
 
     for _ in range(rounds):
         changed = False
         for i in range(len(who)):
             if not who[i] and kind[i] != "direction":
-                found, m, sc = infer(i)
+                found, name = infer(i)
                 if found:
-                    who[i], method[i], score[i], changed = found, m, sc, True
+                    who[i], names[i], changed = found, name, True
+                    heard.setdefault(scene[i], {}).setdefault(found, 0)
+                    heard[scene[i]][found] += 1
         if not changed:
             break
-    out["speaker"], out["fill_method"], out["fill_score"] = who, method, score
+    out["speaker"], out["fill_rule"] = who, names
     return out
 
 
 def cascade(rows: DataFrame, entity: list[str], pos: str, rules: Rules = Rules()) -> DataFrame:
     """``rule_cascade`` for all scenes it covers, and the ordered fold, a scene at a time, for those it doesn't: scenes
-    that recur after others, and stretches with a song and nobody known."""
+    that recur after others, and stretches with a song and nobody known. A row without a scene has no context: it is
+    filled only if it is a song."""
     scene = [*entity, "scene_id"]
     in_run, in_scene = W.partitionBy(*entity, "run"), W.partitionBy(*scene)
     known, song = F.when(F.trim("speaker") != "", 1).otherwise(0), F.when(F.col("row_type") == "song", 1).otherwise(0)
     runs = scene_runs(rows, entity, pos).withColumn("_mute", F.when((F.max(known).over(in_run) == 0) & (F.max(song).over(in_run) == 1), 1).otherwise(0))
-    flagged = runs.withColumn("_odd", (F.min("run").over(in_scene) != F.max("run").over(in_scene)) | (F.max("_mute").over(in_scene) == 1)).drop("_mute")
+    odd = F.col("scene_id").isNotNull() & ((F.min("run").over(in_scene) != F.max("run").over(in_scene)) | (F.max("_mute").over(in_scene) == 1))
+    flagged = stage(runs.withColumn("_odd", odd).drop("_mute"), "cascade")
     plain = rule_cascade(flagged.where("not _odd").drop("_odd"), entity, pos, rules)
     columns = plain.columns
     todo = flagged.where("_odd").withColumns({"wc": T.word_count(F.col("utterance")), "norm": T.normalize_rule(F.col("utterance"))})
     schema = todo.select(*columns).schema
+    written = {name: outcome(name, rules.scores) for name in OUTCOMES}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         done = fold_rows(pdf.sort_values(pos, kind="stable"), rules)
-        hit = done.fill_method != ""
+        hit = done.fill_rule != ""
         done.loc[hit, "filled_from_missing"] = True
-        done.loc[hit, "speaker_method"] = done.fill_method[hit]
-        done.loc[hit, "alignment_score"] = done.fill_score[hit]
-        score = done.fill_score
-        high, low = score >= rules.scores["high_bridge"], score < rules.scores["long_ambiguous"]
-        done.loc[hit, "speaker_confidence"] = ["high" if h else "low" if l else "medium" for h, l in zip(high[hit], low[hit])]
-        doubt = hit & (low | done.fill_method.eq("short_turn_alternation") | score.eq(rules.scores["long_ambiguous"]))
-        done.loc[doubt, "review_flag"] = True
-        done.loc[doubt, "review_reason"] = ["scene_majority_fallback" if m == "scene_majority_fallback" else "short_utterance_between_two_speakers" if m == "short_turn_alternation" else "two_sided_context_ambiguous" for m in done.fill_method[doubt]]
+        for k, c in enumerate(("speaker_method", "speaker_confidence", "alignment_score", "review_flag", "review_reason", "notes")):
+            done.loc[hit, c] = [written[name][k] for name in done.fill_rule[hit]]
         return done[columns]
 
     return plain.unionByName(todo.groupBy(*scene).applyInPandas(fold, schema))

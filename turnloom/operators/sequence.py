@@ -102,9 +102,10 @@ def prev_next_speaker(rows: DataFrame, entity: list[str], pos: str) -> DataFrame
 
 
 def scene_runs(rows: DataFrame, entity: list[str], pos: str) -> DataFrame:
-    """``rows`` with ``run``: the position at which the contiguous stretch of one scene begins that a row is in."""
+    """``rows`` with ``run``: the position at which the contiguous stretch of one scene begins that a row is in. A row
+    without a scene is a stretch of its own."""
     near = with_neighbours(rows, entity, pos, F.struct("scene_id"))
-    fresh = F.col("_prev").isNull() | ~F.col("_prev.scene_id").eqNullSafe(F.col("scene_id"))
+    fresh = ~F.coalesce(F.col("_prev.scene_id") == F.col("scene_id"), F.lit(False))
     return running_last(near.drop("_next"), entity, pos, F.when(fresh, F.col(pos)), "run").drop("_prev")
 
 

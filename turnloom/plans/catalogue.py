@@ -11,13 +11,13 @@ from turnloom.functions import similarity as S
 from turnloom.functions import text as T
 from turnloom.operators import align, impute, metrics, network, qa, sequence
 from turnloom.plans import adapters as A
-from turnloom.plans import pipeline
-from turnloom.plans.oracles import ORACLES as ORACLES
+from turnloom.plans import oracles, pipeline, twins
 from turnloom.session import table
 from turnloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracles.ORACLES | twins.ORACLES
 SCENE, EP = ["episode", "scene_id"], ["episode"]
 
 
@@ -357,19 +357,6 @@ def token_overlap_similarity(spark, d):
     return _overlaps(spark, d).select("sent_id", "dialogue_id", "sim")
 
 
-@query
-def fuzzy_similarity(spark, d):
-    m = A.matched_sentences(spark, d).where("utterance_ct is not null").select("sent_id", T.normalize_rule(F.col("utterance")).alias("a"), T.normalize_rule(F.col("utterance_ct")).alias("b"), F.col("speaker").alias("x"), F.col("speaker_ct").alias("y"))
-    return _round(m.select("sent_id", S.fuzzy_similarity("a", "b").alias("sim"), S.fuzzy_similarity(T.normalize_rule(F.col("x")), T.normalize_rule(F.col("y"))).alias("name_sim")), "sim", "name_sim")
-
-
-@query
-def length_ratio_filter(spark, d):
-    m = A.matched_sentences(spark, d)
-    ok = align.length_ok(T.normalize_rule(F.col("utterance")), T.normalize_rule(F.coalesce("utterance_ct", F.lit("one"))), 5.0)
-    return m.select("sent_id", ok.alias("length_ok"))
-
-
 @query
 def parse_transcript(spark, d):
     return readers.parse_transcript(A.transcript_lines(spark, d), ["doc_id"]).select("doc_id", "line_no", "kind", "scene_idx", "dialogue_idx", "scene_desc", "speaker_ct", "utterance_ct")
@@ -436,17 +423,32 @@ def annotation_stats(spark, d):
     return pipeline.annotation_stats(spread.withColumn("fill_method", F.coalesce("_how", "fill_method")), EP)
 
 
+def _paired(spark, d):
+    """The aligned pairs with the rule forms of both texts and both speakers."""
+    s, t = _aligned_inputs(spark, d)
+    pairs = align.align_monotonic(_normed(s, "text", "speaker"), _normed(t, "utterance_ct", "speaker_ct"), ["root", "scene_id"]).select("sent_idx", "dialogue_idx")
+    left = s.select(F.col("idx").alias("sent_idx"), T.normalize_rule(F.col("text")).alias("a"), T.normalize_rule(F.col("speaker")).alias("x"))
+    right = t.select(F.col("idx").alias("dialogue_idx"), T.normalize_rule(F.col("utterance_ct")).alias("b"), T.normalize_rule(F.col("speaker_ct")).alias("y"))
+    return pairs.join(left, "sent_idx").join(right, "dialogue_idx").select(F.col("sent_idx").alias("sent_id"), F.col("dialogue_idx").alias("dialogue_id"), "a", "b", "x", "y")
+
+
 @query
-def best_span_removal(spark, d):
-    m = A.matched_sentences(spark, d).where("utterance_ct is not null").select("sent_id", T.normalize_rule(F.col("utterance_ct")).alias("a"), T.normalize_rule(F.col("utterance")).alias("b"))
+def fuzzy_similarity(spark, d):
+    """How alike the texts and the speakers of aligned pairs are."""
+    return _round(_paired(spark, d).select("sent_id", "dialogue_id", S.fuzzy_similarity("a", "b").alias("sim"), S.fuzzy_similarity("x", "y").alias("name_sim")), "sim", "name_sim")
 
-    @F.pandas_udf("string")
-    def rest(a, b):
-        import pandas as pd
 
-        return pd.Series([S.without_best_span(x, y) for x, y in zip(a, b)])
+@query
+def length_ratio_filter(spark, d):
+    """Words of a sentence over those of its aligned line, and whether they are twice as many at most."""
+    p = _paired(spark, d)
+    return _round(p.select("sent_id", "dialogue_id", align.length_ratio(F.col("a"), F.col("b")).alias("ratio"), align.length_ok(F.col("a"), F.col("b"), 2.0).alias("length_ok")), "ratio")
+
 
-    return m.select("sent_id", rest("a", "b").alias("rest"))
+@query
+def best_span_removal(spark, d):
+    """What is left of aligned lines without the words of their sentence."""
+    return _paired(spark, d).select("sent_id", S.span_removed("b", "a").alias("rest"))
 
 
 @query
@@ -464,7 +466,7 @@ def alignment_rows(spark, d):
 
 def _filled(spark, d):
     rows = A.matched_sentences(spark, d).select("sent_id", "episode", "season", "scene_id", "sentence_id", "utterance", "speaker", "utterance_ct", "speaker_ct")
-    return rows.withColumn("scene_id", F.coalesce("scene_id", F.lit(0)))
+    return rows
 
 
 @query
@@ -475,7 +477,7 @@ def direct_ct_fill(spark, d):
 @query
 def speaker_rule_cascade(spark, d):
     rows = impute.cascade(impute.direct_fill(_filled(spark, d)), EP, "sentence_id")
-    return _round(rows.select("sent_id", "speaker", "filled_from_missing", "speaker_method", "speaker_confidence", "alignment_score", "review_flag", "review_reason"), "alignment_score")
+    return _round(rows.select("sent_id", "speaker", "filled_from_missing", "speaker_method", "speaker_confidence", "alignment_score", "review_flag", "review_reason", "notes"), "alignment_score")
 
 
 @query
@@ -513,7 +515,7 @@ def scene_anomalies(spark, d):
 def _checked(spark, d):
     """Sentences as enhanced rows: unmatched medium and low ones under review."""
     rows = A.matched_sentences(spark, d).select("sent_id", "episode", "season", "scene_id", "sentence_id", "utterance", "speaker", "speaker_ct", "speaker_confidence", "speaker_method", "alignment_score")
-    return rows.withColumns({"scene_id": F.coalesce("scene_id", F.lit(0)), "speaker": T.clean(F.col("speaker")), "speaker_ct": T.clean(F.col("speaker_ct")), "alignment_score": F.coalesce("alignment_score", F.lit(0.0)), "review_flag": F.coalesce(F.col("speaker_confidence").isin("low", "none"), F.lit(False)), "review_reason": F.lit(""), "notes": F.lit("")})
+    return rows.withColumns({"speaker": T.clean(F.col("speaker")), "speaker_ct": T.clean(F.col("speaker_ct")), "alignment_score": F.coalesce("alignment_score", F.lit(0.0)), "review_flag": F.coalesce(F.col("speaker_confidence").isin("low", "none"), F.lit(False)), "review_reason": F.lit(""), "notes": F.lit("")})
 
 
 @query
@@ -523,17 +525,17 @@ def qa_ct_override(spark, d):
 
 @query
 def qa_changes(spark, d):
-    return qa.changes(qa.ct_override(_checked(spark, d)), ["sent_id", "episode", "scene_id", "sentence_id"], "qa_speaker_ct_override")
+    return qa.changes(qa.ct_override(_checked(spark, d)), ["sent_id", "episode", "scene_id", "sentence_id"], F.lit(qa.CORRECTIONS["ct"][0]))
 
 
 @query
 def qa_bridge(spark, d):
-    return qa.scene_corrections(_checked(spark, d), EP, "sentence_id", anomaly=False).where("fix <> ''").select("sent_id", "new_speaker", "fix")
+    return qa.scene_corrections(_checked(spark, d), EP, "sentence_id", anomaly=False).where("fix <> ''").select("sent_id", "new_speaker", "fix", "qa_reason")
 
 
 @query
 def qa_anomaly(spark, d):
-    return qa.scene_corrections(_checked(spark, d), EP, "sentence_id", bridge=False).where("fix <> ''").select("sent_id", "new_speaker", "fix")
+    return qa.scene_corrections(_checked(spark, d), EP, "sentence_id", bridge=False).where("fix <> ''").select("sent_id", "new_speaker", "fix", "qa_reason")
 
 
 @query

@@ -75,7 +75,7 @@ PT AS (SELECT doc_id, line_no, kind, CAST(sum(CASE WHEN kind = 'scene' THEN 1 EL
     CASE WHEN kind = 'dialogue' THEN CAST(sum(CASE WHEN kind = 'dialogue' THEN 1 ELSE 0 END) OVER w - 1 AS INTEGER) END AS dialogue_idx,
     CASE WHEN kind = 'scene' THEN CASE WHEN br THEN regexp_replace(trim(substr(l, 2, length(l) - 2)), '^\s*(?i:scene)\s*:\s*', '') WHEN rd THEN trim(substr(l, 2, length(l) - 2)) ELSE l END END AS scene_desc,
     CASE WHEN kind = 'dialogue' THEN """ + clean("regexp_extract(l, '^([^:]{1,80}):', 1)") + " END AS speaker_ct, CASE WHEN kind = 'dialogue' THEN " + clean("said") + " END AS utterance_ct FROM EV WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"
-RUNS = """R0 AS (SELECT sent_id, episode, sentence_id, scene_id, nullif(trim(speaker), '') AS k, CASE WHEN row_number() OVER w > 1 AND lag(scene_id) OVER w IS NOT DISTINCT FROM scene_id THEN 0 ELSE 1 END AS f FROM S WINDOW w AS (PARTITION BY episode ORDER BY sentence_id)),
+RUNS = """R0 AS (SELECT sent_id, episode, sentence_id, scene_id, nullif(trim(speaker), '') AS k, CASE WHEN lag(scene_id) OVER w = scene_id THEN 0 ELSE 1 END AS f FROM S WINDOW w AS (PARTITION BY episode ORDER BY sentence_id)),
 R AS (SELECT *, sum(f) OVER (PARTITION BY episode ORDER BY sentence_id) AS run FROM R0)"""
 DIRECT = f"""{MATCHED}, DF AS (SELECT sent_id, season, episode, {clean('speaker')} AS was, coalesce(speaker_ct, '') AS ct, {row_type('utterance')} AS row_type FROM MS),
 DD AS (SELECT *, was = '' AND ct <> '' AS direct, was <> '' AND was = ct AS agreed FROM DF),
@@ -84,7 +84,7 @@ RG AS (SELECT *, NOT ok AND row_type = 'direction' AS dir, NOT ok AND row_type <
 RV AS (SELECT sent_id, season, episode, was, speaker, direct, CASE WHEN ok THEN 'community_transcript_match' WHEN dir THEN 'direction' WHEN blank THEN 'unresolved' ELSE '' END AS speaker_method,
     CASE WHEN ok OR dir THEN 'high' WHEN blank THEN 'low' ELSE '' END AS speaker_confidence, CASE WHEN ok THEN 1.0 WHEN dir THEN 0.95 ELSE 0.0 END AS alignment_score, blank AS review_flag,
     CASE WHEN blank THEN 'unresolved_no_reliable_inference' ELSE '' END AS review_reason FROM RG)"""
-CHECKED = f"""{MATCHED}, CK AS (SELECT sent_id, episode, season, coalesce(scene_id, 0) AS scene_id, sentence_id, utterance, {clean('speaker')} AS speaker, coalesce(speaker_ct, '') AS speaker_ct, speaker_confidence, speaker_method,
+CHECKED = f"""{MATCHED}, CK AS (SELECT sent_id, episode, season, scene_id, sentence_id, utterance, {clean('speaker')} AS speaker, coalesce(speaker_ct, '') AS speaker_ct, speaker_confidence, speaker_method,
     coalesce(alignment_score, 0.0) AS alignment_score, coalesce(speaker_confidence IN ('low', 'none'), false) AS review_flag FROM MS)"""
 OVERRIDE = "speaker <> '' AND speaker_ct <> '' AND speaker <> speaker_ct AND (coalesce(speaker_method, '') <> 'community_transcript_match' OR review_flag OR coalesce(speaker_confidence IN ('low', 'medium'), false))"
 
@@ -164,7 +164,6 @@ ME AS (SELECT sent_id, list_filter(names, lambda n: contains(' ' || norm || ' ',
     nullif(regexp_extract(lower(trim(episode)), '^(.*?)_s\d', 1), '') AS series FROM (SELECT DISTINCT episode FROM shots)""",
     "append_note": f"""WITH {S} SELECT sent_id, CASE WHEN {clean('speaker_method')} = '' THEN speaker_confidence WHEN contains({clean('speaker_method')}, speaker_confidence) THEN {clean('speaker_method')} ELSE {clean('speaker_method')} || ' | ' || speaker_confidence END AS notes FROM S""",
     "token_overlap_similarity": f"WITH {OVERLAP} SELECT sent_id, dialogue_id, sim FROM O",
-    "length_ratio_filter": f"""WITH {MATCHED}, LR AS (SELECT sent_id, len(list_filter(string_split(norm, ' '), lambda t: t <> '')) AS a, len(list_filter(string_split({norm("coalesce(utterance_ct, 'one')")}, ' '), lambda t: t <> '')) AS b FROM MS) SELECT sent_id, CASE WHEN b = 0 THEN true ELSE a / b <= 5.0 END AS length_ok FROM LR""",
     "parse_transcript": f"WITH {LINES} SELECT doc_id, line_no, kind, scene_idx, dialogue_idx, scene_desc, speaker_ct, utterance_ct FROM PT",
     "direct_ct_fill": f"""WITH {DIRECT} SELECT sent_id, CASE WHEN direct THEN ct ELSE was END AS speaker, was AS speaker_original, row_type, ct <> '' AS matched_to_ct, direct AS filled_from_missing, CASE WHEN direct OR agreed THEN 'community_transcript_match' ELSE '' END AS speaker_method,
     CASE WHEN direct OR agreed THEN 'high' ELSE '' END AS speaker_confidence, CASE WHEN direct OR agreed THEN 1.0 ELSE 0.0 END AS alignment_score,
@@ -177,7 +176,7 @@ SELECT episode, scene_id, speaker, n FROM (SELECT *, row_number() OVER (PARTITIO
     "scene_speaker_set": f"""WITH {S}, K AS (SELECT episode, scene_id, trim(speaker) AS speaker, min(sentence_id) AS f FROM S WHERE scene_id IS NOT NULL AND trim(coalesce(speaker, '')) <> '' GROUP BY ALL) SELECT episode, scene_id, string_agg(speaker, ' | ' ORDER BY f) AS scene_speaker_set FROM K GROUP BY ALL""",
     "scene_anomalies": f"WITH {S} SELECT episode, scene_id, trim(speaker) AS speaker FROM S WHERE scene_id IS NOT NULL AND trim(coalesce(speaker, '')) <> '' GROUP BY episode, scene_id, trim(speaker) HAVING count(*) = 1",
     "qa_ct_override": f"WITH {CHECKED} SELECT sent_id, speaker_ct AS new_speaker, 'speaker_ct mismatch override' AS qa_reason FROM CK WHERE {OVERRIDE}",
-    "qa_changes": f"WITH {CHECKED} SELECT sent_id, episode, scene_id, sentence_id, speaker AS old_speaker, speaker_ct AS new_speaker, coalesce(speaker_method, '') AS old_method, 'qa_speaker_ct_override' AS new_method, 'speaker_ct mismatch override' AS qa_reason FROM CK WHERE {OVERRIDE}",
+    "qa_changes": f"WITH {CHECKED} SELECT sent_id, episode, scene_id, sentence_id, {clean('utterance')} AS utterance, speaker AS old_speaker, speaker_ct AS new_speaker, coalesce(speaker_method, '') AS old_method, 'qa_speaker_ct_override' AS new_method, 'speaker_ct mismatch override' AS qa_reason, speaker_ct FROM CK WHERE {OVERRIDE}",
     "qa_review_resolution": f"""WITH {CHECKED}, R0 AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(scene_id) OVER w = scene_id THEN 0 ELSE 1 END AS f FROM CK WINDOW w AS (PARTITION BY episode ORDER BY sentence_id)), R AS (SELECT *, sum(f) OVER (PARTITION BY episode ORDER BY sentence_id) AS run, nullif(trim(speaker), '') AS k FROM R0),
 Z AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY episode, run ORDER BY sentence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(k IGNORE NULLS) OVER (PARTITION BY episode, run ORDER BY sentence_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM R),
 Q AS (SELECT *, CASE WHEN NOT review_flag THEN NULL WHEN speaker <> '' AND p = speaker AND n = speaker THEN 'bridge' WHEN speaker <> '' AND speaker = speaker_ct THEN 'ct_support' END AS resolved FROM Z)
