@@ -15,13 +15,17 @@ def tokens(normal: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != ""))
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    """Shared tokens over those of the shorter token set; 0 if either text is empty."""
-    x, y = tokens(a), tokens(b)
+def set_overlap(x: Column, y: Column) -> Column:
+    """Shared tokens of two arrays of distinct tokens over those of the shorter; 0 if either is empty."""
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
 
 
+def token_overlap(a: Column, b: Column) -> Column:
+    """``set_overlap`` of two normalised texts."""
+    return set_overlap(tokens(a), tokens(b))
+
+
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one bit of an integer for each character of ``a``."""
     if len(a) > len(b):

@@ -269,6 +269,8 @@ def cascade(rows: DataFrame, entity: list[str], pos: str, rules: Rules = Rules()
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         done = fold_rows(pdf.sort_values(pos, kind="stable"), rules)
         hit = done.fill_rule != ""
+        if not hit.any():
+            return done[columns]
         done.loc[hit, "filled_from_missing"] = True
         for k, c in enumerate(("speaker_method", "speaker_confidence", "alignment_score", "review_flag", "review_reason", "notes")):
             done.loc[hit, c] = [written[name][k] for name in done.fill_rule[hit]]

@@ -75,6 +75,24 @@ def episode_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("episode", *PAIR).agg(*[total(c) for c in ("weight", "adjacency", "proximity", "copresence")])
 
 
+def episode_edges_of(t: DataFrame, window: int = 3, adjacency: float = 1.0, proximity: float = 0.5, copresence: float = 0.25) -> DataFrame:
+    """``episode_edges`` of ``scene_edges`` straight from the turns. Co-presence, of which there are as many rows as
+    pairs of speakers of a scene, is counted for each episode before anything is shuffled; only near turns are summed
+    for each scene first, as their rounding asks for."""
+    unit = math.lcm(*range(1, window + 1))
+    units = lambda c: F.round(F.round(c.cast("double"), 4) * 10000).cast("bigint")
+    alone = units(F.lit(copresence))
+    summed = neighbours(t, window).groupBy(*SCENE, *PAIR).agg(F.sum(F.when(F.col("distance") == 1, 1).otherwise(0)).alias("a"), F.sum((F.lit(unit) / F.col("distance")).cast("bigint")).alias("p"))
+    weight = adjacency * F.col("a") + proximity * F.col("p") / unit + F.lit(copresence)
+    near = summed.select("episode", *PAIR, (F.when(weight > 0, units(weight)).otherwise(0) - F.when(alone > 0, alone).otherwise(0)).alias("w"), units(F.col("a")).alias("a"), units(F.col("p") / unit).alias("p"), F.lit(0).cast("bigint").alias("c"))
+    names = F.array_sort(F.collect_set("speaker"))
+    scenes = t.groupBy(*SCENE).agg(names.alias("names")).select("episode", F.posexplode("names").alias("at", "source"), "names")
+    pairs = scenes.select("episode", "source", F.explode(F.slice("names", F.col("at") + 2, F.size("names"))).alias("target"))
+    together = pairs.select("episode", *PAIR, F.when(alone > 0, alone).otherwise(0).alias("w"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("p"), F.lit(10000 if copresence >= 0 else 0).cast("bigint").alias("c"))
+    total = lambda x, name: (F.sum(x) / 10000).alias(name)
+    return near.unionByName(together).groupBy("episode", *PAIR).agg(total("w", "weight"), total("a", "adjacency"), total("p", "proximity"), total("c", "copresence")).where("weight > 0")
+
+
 def scene_bounds(t: DataFrame) -> DataFrame:
     """Start, end, and sorted speakers of each scene."""
     return t.groupBy(*SCENE).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.array_sort(F.collect_set("speaker")).alias("nodes"))

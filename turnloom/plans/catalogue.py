@@ -76,7 +76,7 @@ def scene_graphs(spark, d):
 
 @query
 def event_edges(spark, d):
-    return network.episode_edges(network.scene_edges(network.turns_of_events(table(spark, d, "events"))))
+    return network.episode_edges_of(network.turns_of_events(table(spark, d, "events")))
 
 
 @query
@@ -262,10 +262,10 @@ def scenes_from_rows(spark, d):
 
 
 def _overlaps(spark, d):
-    """Token overlap of every sentence and line of a scene."""
-    s = A.sentences(spark, d).where("scene_id is not null").select(T.episode_root(F.col("episode")).alias("root"), "scene_id", "sent_id", "sentence_id", T.normalize_rule(F.col("utterance")).alias("a"))
-    t = A.dialogues(spark, d).where("scene_idx is not null").select(F.col("episode_root").alias("root"), F.col("scene_idx").alias("scene_id"), "dialogue_id", "dialogue_idx", T.normalize_rule(F.col("utterance_ct")).alias("b"))
-    return s.join(t, ["root", "scene_id"]).withColumn("sim", F.round(S.token_overlap(F.col("a"), F.col("b")), 6))
+    """Token overlap of every sentence and line of a scene; texts are cut into tokens before they meet."""
+    s = A.sentences(spark, d).where("scene_id is not null").select(T.episode_root(F.col("episode")).alias("root"), "scene_id", "sent_id", "sentence_id", S.tokens(T.normalize_rule(F.col("utterance"))).alias("a"))
+    t = A.dialogues(spark, d).where("scene_idx is not null").select(F.col("episode_root").alias("root"), F.col("scene_idx").alias("scene_id"), "dialogue_id", "dialogue_idx", S.tokens(T.normalize_rule(F.col("utterance_ct"))).alias("b"))
+    return s.join(t, ["root", "scene_id"]).withColumn("sim", F.round(S.set_overlap(F.col("a"), F.col("b")), 6))
 
 
 @query
@@ -552,4 +552,12 @@ def qa_rollup(spark, d):
 def qa_final_rows(spark, d):
     """All corrections in order."""
     rows, _ = qa.run_all(_checked(spark, d), EP, "sentence_id")
-    return rows.select("sent_id", "speaker", "speaker_method", "speaker_confidence", "alignment_score", "review_flag", "notes")
+    return rows.select("sent_id", "speaker", "speaker_method", "speaker_confidence", "alignment_score", "review_flag", "notes").withColumn("alignment_score", F.round("alignment_score", 6))
+
+
+@query
+def qa_summary(spark, d):
+    """What the corrections did to each file."""
+    before = _checked(spark, d)
+    rows, (one, two) = qa.run_all(before, EP, "sentence_id")
+    return qa.summary(before, rows, one.unionByName(two), ["season", "episode"])

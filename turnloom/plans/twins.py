@@ -176,3 +176,85 @@ PX AS (SELECT a.episode, a.scene_id, a.s, v.s AS v, list_sum(list_transform(rang
 BV AS (SELECT episode, scene_id, v, sum(share) AS share FROM PX GROUP BY ALL),
 NN AS (SELECT episode, scene_id, n, unnest(names) AS character, unnest(range(1, n + 1)) AS v FROM ND)
 SELECT episode, scene_id, character, round(CASE WHEN n > 2 THEN coalesce(share, 0.0) / ((n - 1) * (n - 2)) ELSE 0.0 END, 6) AS value FROM NN LEFT JOIN BV USING (episode, scene_id, v)"""
+
+# Ordered folds
+
+_RULES = ", ".join(f"({_quoted(k)}, {_quoted(m)}, {_quoted(c)}, {s}::DOUBLE, {str(r).lower()}, {_quoted(why)}, {_quoted(note)})" for k, (m, c, s, r, why, note) in ((k, impute.outcome(k, impute.Rules().scores)) for k in impute.OUTCOMES))
+_SAYS = "contains(' ' || norm[i] || ' ', ' ' || lower({0}) || ' ')"
+_OPENER = " OR ".join(f"starts_with(norm[i], {_quoted(x)})" for x in impute.Rules().continuation_prefixes)
+_PUT = "CASE WHEN {1} <> '' THEN list_concat({0}[1 : i - 1], [{1}], {0}[i + 1 :]) ELSE {0} END"
+
+
+def _near(who: str = "who") -> str:
+    """p and q: the nearest known speakers before and after row i in its stretch, or empty."""
+    return f"""coalesce({who}[list_max(list_filter(range(1, i), lambda j: {who}[j] <> '' AND run[j] = run[i]))], '') AS p,
+    coalesce({who}[list_min(list_filter(range(i + 1, n + 1), lambda j: {who}[j] <> '' AND run[j] = run[i]))], '') AS q"""
+
+
+#: CA(sent_id, ..., speaker, and what the fills wrote), the rules folded over each scene for three rounds.
+CASCADE = f"""{O.DIRECT}, C0 AS (SELECT MS.sent_id, MS.episode, MS.season, scene_id, sentence_id, utterance, utterance_ct, was, ct, row_type, direct, agreed, CASE WHEN direct THEN ct ELSE was END AS known, norm, {O.words('utterance')} AS wc,
+    CASE WHEN lag(scene_id) OVER (PARTITION BY MS.episode ORDER BY sentence_id) = scene_id THEN 0 ELSE 1 END AS fresh FROM MS JOIN DD USING (sent_id)),
+C1 AS (SELECT *, sum(fresh) OVER (PARTITION BY episode ORDER BY sentence_id) AS run, coalesce(CAST(scene_id AS VARCHAR), 'x' || sent_id) AS g FROM C0),
+C2 AS (SELECT episode, g, count(*) AS n, list(sent_id ORDER BY sentence_id) AS ids, list(row_type ORDER BY sentence_id) AS kind, list(run ORDER BY sentence_id) AS run, list(norm ORDER BY sentence_id) AS norm, list(wc ORDER BY sentence_id) AS wc, list(known ORDER BY sentence_id) AS who FROM C1 GROUP BY ALL),
+CR AS (SELECT *, 0::BIGINT AS t, list_transform(who, lambda w: '') AS rule FROM C2
+UNION ALL SELECT episode, g, n, ids, kind, run, norm, wc, {_PUT.format('who', 'new')}, t + 1, {_PUT.format('rule', 'r')} FROM (
+    SELECT *, CASE WHEN r = 'song' THEN 'Song' WHEN r IN ('bridge', 'names_next', 'opener', 'end', 'end_short', 'long') THEN p WHEN r IN ('names_previous', 'short', 'start', 'start_short', 'weak') THEN q WHEN r = 'majority' THEN most ELSE '' END AS new FROM (
+    SELECT *, CASE WHEN who[i] <> '' OR kind[i] = 'direction' THEN '' WHEN kind[i] = 'song' THEN 'song' WHEN p <> '' AND p = q THEN 'bridge'
+        WHEN p <> '' AND q <> '' AND {_SAYS.format('p')} AND NOT {_SAYS.format('q')} THEN 'names_previous' WHEN p <> '' AND q <> '' AND {_SAYS.format('q')} AND NOT {_SAYS.format('p')} THEN 'names_next'
+        WHEN wc[i] <= 2 AND p <> '' AND q <> '' THEN 'short' WHEN p <> '' AND ({_OPENER}) THEN 'opener' WHEN p <> '' AND q = '' THEN CASE WHEN wc[i] <= 2 THEN 'end_short' ELSE 'end' END
+        WHEN q <> '' AND p = '' THEN CASE WHEN wc[i] <= 2 THEN 'start_short' ELSE 'start' END WHEN p <> '' THEN CASE WHEN wc[i] >= 5 THEN 'long' ELSE 'weak' END WHEN most <> '' THEN 'majority' ELSE '' END AS r FROM (
+    SELECT *, {_near()}, coalesce(nz[list_position(cn, list_max(cn))], '') AS most FROM (SELECT *, list_transform(nz, lambda w: len(list_filter(nz, lambda z: z = w))) AS cn FROM (
+    SELECT *, t % n + 1 AS i, list_filter(who, lambda w: w <> '') AS nz FROM CR WHERE t < 3 * n)))))),
+C4 AS (SELECT unnest(ids) AS sent_id, unnest(who) AS speaker, unnest(rule) AS rule FROM CR WHERE t = 3 * n),
+CA AS (SELECT C1.*, C4.speaker, direct OR rule <> '' AS filled_from_missing, CASE WHEN rule <> '' THEN o.method WHEN direct OR agreed THEN 'community_transcript_match' ELSE '' END AS speaker_method,
+    CASE WHEN rule <> '' THEN o.confidence WHEN direct OR agreed THEN 'high' ELSE '' END AS speaker_confidence, CASE WHEN rule <> '' THEN o.score WHEN direct OR agreed THEN 1.0 ELSE 0.0 END AS alignment_score,
+    coalesce(o.review, false) AS review_flag, coalesce(o.reason, '') AS review_reason, CASE WHEN rule <> '' THEN o.note WHEN direct THEN 'Speaker copied from available community-transcript mapping.' WHEN agreed THEN 'Speaker agrees with available community-transcript mapping.' ELSE '' END AS notes
+    FROM C1 JOIN C4 USING (sent_id) LEFT JOIN (VALUES {_RULES}) o(name, method, confidence, score, review, reason, note) ON o.name = rule)""".replace("WITH ", "", 1)
+
+ORACLES["speaker_rule_cascade"] = f"WITH RECURSIVE {CASCADE} SELECT sent_id, speaker, filled_from_missing, speaker_method, speaker_confidence, round(alignment_score, 6) AS alignment_score, review_flag, review_reason, notes FROM CA"
+ORACLES["enhanced_rows"] = f"""WITH RECURSIVE {CASCADE}, E1 AS (SELECT *, row_type = 'direction' AND speaker_method = '' AS dir, speaker = '' AND speaker_method = '' AND row_type <> 'direction' AS blank FROM CA),
+E2 AS (SELECT * REPLACE (CASE WHEN dir THEN 'direction' WHEN blank THEN 'unresolved' ELSE speaker_method END AS speaker_method, CASE WHEN dir THEN 'high' WHEN blank THEN 'low' ELSE speaker_confidence END AS speaker_confidence,
+    CASE WHEN dir THEN 0.95::DOUBLE WHEN blank THEN 0.0 ELSE alignment_score END AS alignment_score, review_flag OR blank AS review_flag, CASE WHEN blank THEN 'unresolved_no_reliable_inference' ELSE review_reason END AS review_reason,
+    CASE WHEN dir THEN {_quoted(impute.DIRECTION_NOTE)} WHEN blank THEN {_quoted(impute.BLANK_NOTE)} ELSE notes END AS notes) FROM E1),
+E3 AS (SELECT *, filled_from_missing AND speaker_confidence = 'low' AS low, filled_from_missing AND speaker_confidence = 'medium' AND speaker_method IN ('short_turn_alternation', 'scene_context_inference') AND review_reason = '' AS medium FROM E2),
+ES AS (SELECT episode, scene_id, string_agg(speaker, ' | ' ORDER BY f) AS scene_speaker_set FROM (SELECT episode, scene_id, trim(speaker) AS speaker, min(sentence_id) AS f FROM E3 WHERE trim(speaker) <> '' GROUP BY ALL) GROUP BY ALL)
+SELECT E3.episode, E3.scene_id, sent_id, season, sentence_id, utterance, speaker, utterance_ct, ct AS speaker_ct, was AS speaker_original, row_type, ct <> '' AS matched_to_ct, filled_from_missing, speaker_method, speaker_confidence, round(alignment_score, 6) AS alignment_score,
+    review_flag OR low OR medium AS review_flag, CASE WHEN low AND review_reason = '' THEN 'low_confidence_fill' WHEN medium THEN 'medium_confidence_context_fill' ELSE review_reason END AS review_reason, notes,
+    CASE WHEN lag(E3.scene_id) OVER w = E3.scene_id THEN trim(lag(speaker) OVER w) ELSE '' END AS prev_speaker_scene, CASE WHEN lead(E3.scene_id) OVER w = E3.scene_id THEN trim(lead(speaker) OVER w) ELSE '' END AS next_speaker_scene,
+    coalesce(scene_speaker_set, '') AS scene_speaker_set FROM E3 LEFT JOIN ES ON ES.episode = E3.episode AND ES.scene_id = E3.scene_id WINDOW w AS (PARTITION BY E3.episode ORDER BY sentence_id)"""
+
+
+def corrections(rows: str, bridge: bool = True, anomaly: bool = True) -> str:
+    """CTEs up to FX(sent_id, new_speaker, fix) over ``rows``: both corrections folded over each scene, one after the other."""
+    step = f"""UNION ALL SELECT episode, scene_id, n, ids, run, wc, ct, %s, t + 1, {_PUT.format('who', 'new')}, CASE WHEN new <> '' THEN list_concat(weak[1 : i - 1], [false], weak[i + 1 :]) ELSE weak END, {_PUT.format('fix', 'f')} FROM (
+    SELECT *, CASE WHEN f <> '' THEN p ELSE '' END AS new FROM (SELECT *, CASE WHEN who[i] <> '' AND p <> '' AND p = q AND who[i] <> p AND weak[i] %s END AS f FROM (SELECT *, {_near()} FROM (SELECT *, t + 1 AS i FROM %s WHERE t < n))))"""
+    first = step % ("counts", "AND wc[i] <= 4 AND ct[i] = '' THEN 'bridge' ELSE ''" if bridge else "AND false THEN '' ELSE ''", "F2")
+    second = step % ("counts", "AND counts[i] = 1 AND ct[i] = '' THEN 'anomaly' WHEN who[i] <> '' AND p <> '' AND p = q AND who[i] <> p AND weak[i] AND counts[i] = 1 AND NOT list_contains(ct, who[i]) AND list_contains(ct, p) THEN 'unsupported' ELSE ''" if anomaly else "AND false THEN '' ELSE ''", "F3")
+    return f"""F0 AS (SELECT *, {O.words('utterance')} AS wc, CASE WHEN lag(scene_id) OVER (PARTITION BY episode ORDER BY sentence_id) = scene_id THEN 0 ELSE 1 END AS fresh, coalesce(speaker_confidence IN ('low', 'medium'), false) OR review_flag AS weak FROM {rows}),
+F1 AS (SELECT *, sum(fresh) OVER (PARTITION BY episode ORDER BY sentence_id) AS run FROM F0),
+F2 AS (SELECT episode, scene_id, count(*) AS n, list(sent_id ORDER BY sentence_id) AS ids, list(run ORDER BY sentence_id) AS run, list(wc ORDER BY sentence_id) AS wc, list(speaker_ct ORDER BY sentence_id) AS ct, list(0::BIGINT ORDER BY sentence_id) AS counts, 0::BIGINT AS t,
+    list(trim(speaker) ORDER BY sentence_id) AS who, list(weak ORDER BY sentence_id) AS weak, list('' ORDER BY sentence_id) AS fix FROM F1 WHERE scene_id IS NOT NULL GROUP BY episode, scene_id {first}),
+F3 AS (SELECT episode, scene_id, n, ids, run, wc, ct, list_transform(who, lambda w: len(list_filter(who, lambda z: z = w))::BIGINT) AS counts, 0::BIGINT AS t, who, weak, fix FROM F2 WHERE t = n {second}),
+FX AS (SELECT * FROM (SELECT unnest(ids) AS sent_id, unnest(who) AS new_speaker, unnest(fix) AS fix FROM F3 WHERE t = n) WHERE fix <> '')"""
+
+
+_FIXES = ", ".join(f"({_quoted(k)}, {_quoted(m)}, {_quoted(why)})" for k, (m, why) in qa.CORRECTIONS.items())
+for _name, _on in (("qa_bridge", (True, False)), ("qa_anomaly", (False, True))):
+    ORACLES[_name] = f"WITH RECURSIVE {O.CHECKED}, {corrections('CK', *_on)} SELECT sent_id, new_speaker, fix, reason AS qa_reason FROM FX JOIN (VALUES {_FIXES}) v(fix, method, reason) USING (fix)"
+
+_RESOLVED = ", ".join(f"({_quoted(k)}, {_quoted(m)}, {s}::DOUBLE, {_quoted(note)})" for k, (m, s, note) in qa.RESOLVED.items())
+#: QF: the rows after all corrections, with resolved; QC: what the corrections changed.
+CORRECTED = f"""{O.CHECKED}, QO AS (SELECT * REPLACE (CASE WHEN hit THEN speaker_ct ELSE speaker END AS speaker, CASE WHEN hit THEN 'qa_speaker_ct_override' ELSE speaker_method END AS speaker_method, CASE WHEN hit THEN 'high' ELSE speaker_confidence END AS speaker_confidence,
+    CASE WHEN hit THEN greatest(alignment_score, 1.0) ELSE alignment_score END AS alignment_score, review_flag AND NOT hit AS review_flag), CASE WHEN hit THEN 'QA correction: speaker_ct mismatch override' ELSE '' END AS notes FROM (SELECT *, {O.OVERRIDE} AS hit FROM CK)),
+{corrections('QO')}, QB AS (SELECT QO.* REPLACE (coalesce(new_speaker, speaker) AS speaker, coalesce(v.method, speaker_method) AS speaker_method, CASE WHEN v.fix IS NOT NULL THEN 'high' ELSE speaker_confidence END AS speaker_confidence,
+    CASE WHEN v.fix IS NOT NULL THEN greatest(alignment_score, 0.9) ELSE alignment_score END AS alignment_score, review_flag AND v.fix IS NULL AS review_flag, CASE WHEN v.fix IS NOT NULL THEN 'QA correction: ' || v.reason ELSE notes END AS notes), v.fix AS fix
+    FROM QO LEFT JOIN FX USING (sent_id) LEFT JOIN (VALUES {_FIXES}) v(fix, method, reason) ON v.fix = FX.fix),
+QR AS (SELECT *, sum(fresh) OVER (PARTITION BY episode ORDER BY sentence_id) AS run, nullif(trim(speaker), '') AS k FROM (SELECT *, CASE WHEN lag(scene_id) OVER (PARTITION BY episode ORDER BY sentence_id) = scene_id THEN 0 ELSE 1 END AS fresh FROM QB)),
+QN AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY episode, run ORDER BY sentence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(k IGNORE NULLS) OVER (PARTITION BY episode, run ORDER BY sentence_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM QR),
+QV AS (SELECT *, CASE WHEN NOT review_flag THEN NULL WHEN speaker <> '' AND p = speaker AND q = speaker THEN 'bridge' WHEN speaker <> '' AND speaker = speaker_ct THEN 'ct_support' END AS resolved FROM QN),
+QF AS (SELECT QV.* REPLACE (coalesce(z.method, speaker_method) AS speaker_method, CASE WHEN resolved IS NOT NULL THEN 'high' ELSE speaker_confidence END AS speaker_confidence, CASE WHEN resolved IS NOT NULL THEN greatest(alignment_score, z.score) ELSE alignment_score END AS alignment_score,
+    review_flag AND resolved IS NULL AS review_flag, CASE WHEN resolved IS NULL THEN notes WHEN notes = '' THEN z.note ELSE notes || ' | ' || z.note END AS notes) FROM QV LEFT JOIN (VALUES {_RESOLVED}) z(name, method, score, note) ON z.name = resolved)"""
+ORACLES["qa_final_rows"] = f"WITH RECURSIVE {CORRECTED} SELECT sent_id, speaker, speaker_method, speaker_confidence, round(alignment_score, 6) AS alignment_score, review_flag, notes FROM QF"
+ORACLES["qa_summary"] = f"""WITH RECURSIVE {CORRECTED}, WS AS (SELECT season, episode, count_if(review_flag) AS review_rows_before_qa FROM CK GROUP BY ALL)
+SELECT season, episode, count(*) AS rows, any_value(review_rows_before_qa) AS review_rows_before_qa, count_if(review_flag) AS review_rows_after_qa, count_if(notes LIKE '%speaker_ct mismatch override%') AS speaker_ct_overrides, count_if(coalesce(fix, '') = 'bridge') AS scene_bridge_fixes,
+    count_if(coalesce(fix, '') IN ('anomaly', 'unsupported')) AS scene_anomaly_fixes, count_if(resolved IS NOT NULL) AS review_rows_resolved, count_if(trim(speaker) = '') AS remaining_unresolved_rows FROM QF JOIN WS USING (season, episode) GROUP BY season, episode"""
