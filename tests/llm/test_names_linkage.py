@@ -105,3 +105,33 @@ def test_fit_separates_levels():
     counts = [((5, 2, 0, 3), 500.0), ((5, 2, 1, 3), 60.0), ((1, 1, 3, 2), 900.0), ((0, 1, 4, 2), 400.0), ((3, 2, 0, 3), 80.0)]
     prior, m, u = linkage.fit(counts)
     assert 0.2 < prior < 0.6 and m[0][5] > u[0][5] and m[1][2] > u[1][2] and u[2][4] > m[2][4]
+
+
+PEOPLE = "label_id bigint, series string, label string, level int, given string, surname string, quoted string"
+
+
+def test_nicknames_are_learnt(spark):
+    rows = []
+    for k in range(6):  # Zork goes with Zebulon wherever either is, Ann only by chance
+        rows += [(f"s{k}", "zebulon", f"fam{k}"), (f"s{k}", "zork", f"fam{k}")]
+        rows.append((f"s{k}", "ann", f"fam{k}" if k == 0 else f"other{k}"))
+    df = spark.createDataFrame([(i, s, g, 3, g, f, None) for i, (s, g, f) in enumerate(rows)] + [(90, "s1", "x", 3, "quentin", "lee", "quippy")], PEOPLE)
+    assert {(r.a, r.b) for r in names.learnt_nicknames(df).collect()} == {("zebulon", "zork"), ("zork", "zebulon"), ("quentin", "quippy"), ("quippy", "quentin")}
+    assert names.learnt_nicknames(df.limit(0)).count() == 0
+
+
+def test_likelihoods_are_estimated(spark):
+    schema = "v_id bigint, c_id bigint, prior double, ops array<double>, alone double"
+    typo, nick = [1.0] + [0.0] * 6, [0.0, 0.0, 1.0] + [0.0] * 4
+    df = spark.createDataFrame([(i, 10_000 + i, -1.0, typo if i % 10 else nick, -12.0) for i in range(4000)], schema)
+    theta = dict(zip(names.OPS, names.estimated(df, 8000)))
+    assert theta["typo"] > names.PRIOR[0] and theta["nick"] < names.PRIOR[2] and theta["typo"] > theta["nick"]
+    assert names.estimated(df.limit(0), 0) == [__import__("pytest").approx(p) for p in names.PRIOR]
+
+
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    rows = [(i, "s", x, "c") for i, x in enumerate(["Edward Bramanby", "Ned Bramanby", "E. Bramanby", "Bramanby, Edwrad", "Joan Lee", "Joan Leee", "Lee, Joan", None, "??"] * 3)]
+    df, u = spark.createDataFrame(rows, LAB), spark.createDataFrame([("s", "Edward Bramanby")] * 5, "series string, label string")
+    whole = sorted(map(tuple, names.attribute(df, u).collect()))
+    monkeypatch.setattr(names, "BLOCK", 3)
+    assert sorted(map(tuple, names.attribute(df, u).collect())) == whole and len(whole) == 27

@@ -1,10 +1,12 @@
 """Variant spellings of names typed by people: noisy-channel attribution.
 
-Every spelling of a series is a candidate canonical form; candidates are ranked by how complete and how frequent
-they are. A variant meets only candidates that share a blocking key with it. Each is scored by its frequency prior
-times the likelihood that typing it gave the variant: by typos, initials, abbreviations, nicknames, titles, turned
-order, acronyms. The variant is attached to its maximum posterior, unless a person of its own, known from how the
-corpus uses the name's words, explains it better. Attachments only lead up the ranking; their roots are the names.
+Frequent spellings are the candidate canonical forms: candidates are ranked by frequency among spellings equally
+complete (a shortened spelling is no canonical form of a fuller one). A variant meets only candidates that share a
+blocking key with it. Each is scored by its frequency prior times the likelihood that typing it gave the variant: by
+typos, initials, abbreviations, nicknames, titles, turned order, acronyms. How likely each of these is comes from the
+corpus by expectation-maximisation, and so do nicknames, by names used for one surname in the same series or typed in
+quotes. The variant is attached to its maximum posterior, unless a person of its own, known from how the corpus uses
+the name's words, explains it better. Attachments only lead up the ranking; their roots are the names.
 """
 
 from __future__ import annotations
@@ -33,27 +35,39 @@ ORG_WORDS = {
 }
 ABBREVIATED = {short: full for full, shorts in ORG_WORDS.items() for short in shorts.split()}
 ORG_SURE = frozenset("association assn assoc company co corporation corp department dept center ctr centre station stn institute inst university univ insurance theatre theater medical police radio savings bank council agency inc ltd hospital municipal committee society".split())
-# Nicknames that aren't the beginning of the name, by name.
+# Common English nicknames that aren't the beginning of the name, by name. A prior only; more are learnt.
 NICKNAMES = {
-    "abigail": "gail", "alexander": "sandy sasha xander", "alexandra": "sandra sandy sasha", "andrew": "drew", "anthony": "tony", "augustus": "gus", "béatrice": "trixie", "charles": "chuck", "christina": "tina", "christopher": "kit topher",
-    "cordelia": "delia lia", "deborah": "deb", "dorothy": "dot dottie dolly", "edward": "ned ted teddy", "elizabeth": "beth betty betsy liz lizzie lisa libby bess", "eleanor": "nell ellie nora", "emily": "millie", "francis": "frank frankie",
-    "gwendolyn": "wendy", "harold": "hal harry", "henrietta": "hettie etta hattie", "henry": "hal harry hank", "ignatius": "iggy nate", "james": "jim jimmy jamie", "john": "jack johnny", "jonathan": "nathan", "josephine": "jo josie", "katherine": "kit kitty kate kathy",
-    "lawrence": "larry laurie", "leonard": "len lenny", "lucinda": "cindy lucy", "margaret": "peggy meg maggie daisy greta rita", "marjorie": "marge margie", "martha": "patsy mattie", "mary": "molly polly", "matthew": "matt", "michael": "mike mick",
-    "nathaniel": "nat nate", "nicholas": "claus cole", "oskar": "ozzie", "patricia": "trish tricia patty", "rebecca": "becca becky", "renata": "rena", "richard": "dick rick ricky", "robert": "bob bobby rob", "rosalind": "roz", "samantha": "sammie",
-    "sarah": "sally sadie", "susannah": "sue susie", "theodore": "ted teddy theo", "thomas": "tommy", "victoria": "vicky tori", "wilhelmina": "mina billie minnie", "william": "bill billy liam will",
+    "abigail": "gail", "adelaide": "heidi", "albert": "bert bertie", "alexander": "sandy sasha xander", "alexandra": "sandra sandy sasha", "alfred": "fred", "andrew": "drew", "anne": "nan nancy", "anthony": "tony", "augustus": "gus",
+    "beatrice": "trixie", "bernard": "barney", "catherine": "kate kathy kitty", "charles": "chuck", "charlotte": "lottie", "christina": "tina", "christopher": "kit topher", "clarence": "larry", "cynthia": "cindy", "deborah": "deb",
+    "dorothy": "dot dottie dolly", "edmund": "ned ted", "edward": "ned ted teddy", "eleanor": "nell ellie nora", "elizabeth": "beth betty betsy liz lizzie lisa libby bess", "emily": "millie", "eugene": "gene", "florence": "flossie",
+    "frances": "fanny", "francis": "frank frankie", "frederick": "fritz", "george": "dodie", "gerald": "jerry", "gilbert": "bert", "harold": "hal harry", "helen": "nell nellie", "henrietta": "hettie etta hattie", "henry": "hal harry hank",
+    "herbert": "bert", "isabella": "bella", "jacob": "jake", "james": "jim jimmy jamie", "jane": "jenny", "jerome": "jerry", "john": "jack johnny", "jonathan": "nathan", "josephine": "jo josie", "katherine": "kit kitty kate kathy",
+    "lawrence": "larry laurie", "leonard": "len lenny", "lucinda": "cindy lucy", "margaret": "peggy meg maggie daisy greta rita", "marjorie": "marge margie", "martha": "patsy mattie", "mary": "molly polly", "matilda": "tilly", "matthew": "matt",
+    "michael": "mike mick", "nathaniel": "nat nate", "nicholas": "claus", "patricia": "trish tricia patty", "philip": "pip", "rebecca": "becca becky", "richard": "dick rick ricky", "robert": "bob bobby rob", "rosalind": "roz",
+    "sarah": "sally sadie", "stephen": "steve", "susan": "sukie", "theodora": "dora", "theodore": "ted teddy theo", "thomas": "tommy", "victoria": "vicky tori", "virginia": "ginny", "walter": "wat", "wilhelmina": "mina billie minnie",
+    "william": "bill billy liam will",
 }
-LOG_TYPO, LOG_SHORT, LOG_NICK, LOG_MISSING, LOG_TURNED = math.log(0.03), math.log(0.05), math.log(0.3), math.log(0.03), math.log(0.2)
-LOG_DROPPED, LOG_ACRONYM, LOG_NEW = math.log(0.08), math.log(0.05), math.log(0.3)
+#: What typing can do to a name, and how likely each is before the corpus is asked.
+OPS = {"typo": 0.03, "short": 0.05, "nick": 0.3, "missing": 0.03, "turned": 0.2, "dropped": 0.08, "acronym": 0.05}
+#: Labels that the prior of these weighs as much as, and rounds of estimation.
+OP_WEIGHT, OP_ROUNDS = 200.0, 3
+#: Families that two given names must share, and the share of the rarer one's families, to be learnt as name and nickname.
+NICK_FAMILIES, NICK_SHARE = 3, 0.6
+LOG_NEW = math.log(0.3)
 NEVER = -1e9
+#: Labels of a block that one task takes as variants.
+BLOCK = 256
 
 
 class Name(NamedTuple):
-    """A parsed spelling: ``org`` words or ways to read it as (given, surname); a trailing ``*`` marks a shortened part."""
+    """A parsed spelling: ``org`` words or ways to read it as (given, surname, how often turned); a trailing ``*`` marks a
+    shortened part."""
 
     org: tuple[str, ...]
     acronym: str
     ways: tuple[tuple[str, str, float], ...]
     level: int  # 3 both parts in full, 2 one of them shortened, 1 one part only
+    quoted: str = ""  # a nickname in quotes
 
 
 def fold(text: str) -> str:
@@ -105,14 +119,14 @@ def parse(label: str) -> Name | None:
 
     if len(words) == 1:
         one = part(0)
-        return Name((), "", ((("", one, 0.0),) if titled else ((one, "", 0.0), ("", one, LOG_TURNED * 2))), 1)
+        return Name((), "", ((("", one, 0.0),) if titled else ((one, "", 0.0), ("", one, 2.0))), 1)
     g, s = part(0), part(-1)
     ways = [(g, s, 0.0)]
     if nick:
-        ways.append((nick, s, -0.1))
+        ways.append((nick, s, 0.06))
     if len(parts) == 1 and not nick and not titled:
-        ways.append((s, g, LOG_TURNED))
-    return Name((), "", tuple(ways), 2 if g.endswith("*") or s.endswith("*") else 3)
+        ways.append((s, g, 1.0))
+    return Name((), "", tuple(ways), 2 if g.endswith("*") or s.endswith("*") else 3, nick)
 
 
 @lru_cache(maxsize=500_000)
@@ -148,71 +162,90 @@ def is_nickname(nick: str, name: str) -> bool:
     return len(bare) >= 2 and name != nick and len(stem) < len(name) and (name.startswith(stem) or name.startswith(bare)) and (len(stem) >= 3 or stem != nick or len(nick) <= 3)
 
 
-def _part(v: str, c: str, given: bool) -> tuple[float, int]:
-    """(log likelihood, typos) of typing one part of a name as ``v`` where the canonical form has ``c``."""
+Ops = tuple[float, ...]
+NAMES = tuple(OPS)
+PRIOR = tuple(math.log(p) for p in OPS.values())
+NONE: Ops = (0.0,) * len(NAMES)
+
+
+def ops(**counts: float) -> Ops:
+    """How often each thing happened, in the order of ``OPS``."""
+    return tuple(counts.get(n, 0.0) for n in NAMES)
+
+
+def plus(a: Ops, b: Ops, times: float = 1.0) -> Ops:
+    return tuple(x + times * y for x, y in zip(a, b))
+
+
+def weigh(counts: Ops) -> float:
+    """log likelihood before the corpus is asked: what chooses among ways to read two spellings."""
+    return sum(n * p for n, p in zip(counts, PRIOR))
+
+
+def _part(v: str, c: str, given: bool, nicks: bool = False) -> tuple[Ops | None, int]:
+    """What happened to one part of a name that is ``v`` where the canonical form has ``c``, and the typos; None if
+    nothing explains it. ``nicks`` says that the corpus knows the two as name and nickname."""
     if v == c:
-        return 0.0, 0
+        return NONE, 0
     if not v or not c:
-        return LOG_MISSING, 0
+        return ops(missing=1), 0
     a, b = v.rstrip("*"), c.rstrip("*")
     if v.endswith("*") or c.endswith("*"):
         short, full = (a, b) if len(a) <= len(b) else (b, a)
-        return (LOG_SHORT, 0) if full.startswith(short) else (NEVER, 0)
-    if given and (is_nickname(a, b) or is_nickname(b, a)):
-        return LOG_NICK, 0
+        return (ops(short=1), 0) if full.startswith(short) else (None, 9)
+    if given and (nicks or is_nickname(a, b) or is_nickname(b, a)):
+        return ops(nick=1), 0
     if min(len(a), len(b)) < 4:
         k = edits(a, b, 1)
-        return (LOG_TYPO * 1.5, 1) if k <= 1 and max(len(a), len(b)) > 3 else (NEVER, 9)
+        return (ops(typo=1.5), 1) if k <= 1 and max(len(a), len(b)) > 3 else (None, 9)
     most = 2 if min(len(a), len(b)) > 4 else 1
     k = edits(a, b, most)
-    return (LOG_TYPO * k, k) if k <= most else (NEVER, 9)
+    return (ops(typo=k), k) if k <= most else (None, 9)
 
 
-def channel(v: Name, c: Name) -> float:
-    """log P(variant | canonical)."""
+def channel(v: Name, c: Name, nicks: frozenset[tuple[str, str]] = frozenset()) -> Ops | None:
+    """What happened in typing the variant for the canonical form, read the likeliest way; None if nothing explains it.
+    ``nicks`` has pairs of given names the corpus knows as name and nickname."""
     if bool(v.org) != bool(c.org):
-        return NEVER
+        return None
     if v.org:
         return _org_channel(v, c)
-    best = NEVER
+    found: list[Ops] = []
     for vg, vs, vp in v.ways:
         for cg, cs, cp in c.ways:
             if not (vg and cg or vs and cs):
                 continue
-            a, ka = _part(vg, cg, True)
+            a, ka = _part(vg, cg, True, (vg, cg) in nicks or (cg, vg) in nicks)
             b, kb = _part(vs, cs, False)
-            if ka + kb <= 3 and not (not vs and not cs and ka > 1):
-                best = max(best, a + b + vp + cp)
-    return best
+            if a is not None and b is not None and ka + kb <= 3 and not (not vs and not cs and ka > 1):
+                found.append(plus(plus(a, b), ops(turned=1), vp + cp))
+    return max(found, key=weigh, default=None)
 
 
-def _org_channel(v: Name, c: Name) -> float:
+def _org_channel(v: Name, c: Name) -> Ops | None:
     if v.acronym or c.acronym:
         if v.acronym and c.acronym:
-            return LOG_TYPO * 0.5 if v.acronym == c.acronym and edits(v.org[0], c.org[0], 1) <= 1 else NEVER
+            return ops(typo=0.5) if v.acronym == c.acronym and edits(v.org[0], c.org[0], 1) <= 1 else None
         short, full = (v, c) if v.acronym else (c, v)
         initials = "".join(w[0] for w in full.org)
-        return LOG_ACRONYM if initials == short.acronym and edits(full.org[0], short.org[0], 1) <= 1 else NEVER
-    total, typos, extra, free = 0.0, 0, 0, list(c.org)
+        return ops(acronym=1) if initials == short.acronym and edits(full.org[0], short.org[0], 1) <= 1 else None
+    total, typos, extra, free = NONE, 0, 0, list(c.org)
     for w in v.org:
-        hit, cost, k = None, NEVER, 0
+        best: tuple[float, str, Ops, int] | None = None
         for x in free:
             p, n = _part(w, x, False)
-            if w == x and p > cost or p > cost and (w != x):
-                hit, cost, k = x, p, n
-        if hit is None or cost == NEVER:
-            total, extra = total + 2 * LOG_DROPPED, extra + 1  # a word the canonical form lacks
+            if p is not None and (best is None or weigh(p) > best[0]):
+                best = weigh(p), x, p, n
+        if best is None:
+            total, extra = plus(total, ops(dropped=2)), extra + 1  # a word the canonical form lacks
             continue
-        free.remove(hit)
-        total, typos = total + (cost * 0.5 if w.endswith("*") else cost), typos + k
+        free.remove(best[1])
+        total, typos = plus(total, best[2], 0.5 if w.endswith("*") else 1.0), typos + best[3]
     if extra > 1 or extra and free:
-        return NEVER
-    brand = _part(v.org[0], c.org[0], False)[0]
-    if brand == NEVER:
-        brand = max(_part(w, c.org[0], False)[0] for w in v.org)
-    if brand == NEVER or len(free) > 2 or typos > 3 or len(v.org) < 2:
-        return NEVER
-    return total + LOG_DROPPED * len(free)
+        return None
+    if all(_part(w, c.org[0], False)[0] is None for w in v.org) or len(free) > 2 or typos > 3 or len(v.org) < 2:
+        return None
+    return plus(total, ops(dropped=len(free)))
 
 
 def _without_one(word: str) -> set[str]:
@@ -240,9 +273,11 @@ def block_keys(name: Name) -> list[str]:
             keys.add(f"g:{g}")
             if s:
                 keys |= {f"e:{x}:{sb[0]}" for x in {g, *_without_one(g)}}
-            keys |= {f"n:{x}" for x in (g, *NICK_OF.get(g, ()), g[:3])}
             stem = re.sub(r"(?:ie|y|i)$", "", g)
-            keys |= {f"n:{stem[:3]}", f"n:{stem[:2]}"} if len(g) <= 6 else {f"n:{g[:2]}"}
+            near = {g, *NICK_OF.get(g, ()), g[:3]} | ({stem[:3], stem[:2]} if len(g) <= 6 else {g[:2]})
+            keys |= {f"n:{x}" for x in near}  # of a full name, only for those who have a given name alone
+            if s:
+                keys |= {f"m:{x}:{sb[0]}" for x in near}
         if g and s and not s.endswith("*") and len(s) > 4:
             keys |= {f"p:{gb[0]}:{s[:3]}"}
     return sorted(keys)
@@ -253,17 +288,20 @@ def words_of(name: Name) -> list[str]:
     return sorted({w for way in name.ways for w in way[:2] if w and not w.endswith("*")} | {w for w in name.org if not w.endswith("*")})
 
 
-PARSED = "label_id bigint, series string, label string, level int, keys array<string>, words array<string>"
+PARSED = "label_id bigint, series string, label string, level int, keys array<string>, words array<string>, given string, surname string, quoted string"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = [parse(x) if x else None for x in batch.column("label").to_pylist()]
+        first = [n.ways[0] if n and n.ways else ("", "", 0.0) for n in names]
+        plain = lambda part: [w[part] if w[part] and not w[part].endswith("*") else None for w in first]
         cols = [pa.array([n.level if n else 0 for n in names], pa.int32()), pa.array([block_keys(n) if n else [] for n in names], pa.list_(pa.string())), pa.array([words_of(n) if n else [] for n in names], pa.list_(pa.string()))]
+        cols += [pa.array(x, pa.string()) for x in (plain(0), plain(1), [n.quoted or None if n else None for n in names])]
         yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("series"), batch.column("label"), *cols], names=[x.split()[0] for x in PARSED.split(", ")])
 
 
-SCORED = "series string, v_id bigint, c_id bigint, score double, alone double"
+SCORED = "v_id bigint, c_id bigint, prior double, ops array<double>, alone double"
 
 
 def own_person(v: Name, c: Name, known: dict[str, float], total: float) -> float:
@@ -277,37 +315,73 @@ def own_person(v: Name, c: Name, known: dict[str, float], total: float) -> float
     if v.org:
         return LOG_NEW + 3 * math.log(0.02)
     best = NEVER
-    for g, s, p in v.ways:
-        for cg, cs, q in c.ways:
+    for g, s, turned in v.ways:
+        for cg, cs, again in c.ways:
+            p = (turned + again) * PRIOR[NAMES.index("turned")]
             if g == cg and s == cs:
                 return NEVER
             if not g or not s or g.endswith("*") or s.endswith("*"):
                 score = LOG_NEW + math.log(0.02) + (rare(g, "") if not s or s.endswith("*") else rare(s, ""))
             else:
-                score = LOG_NEW + p + q + (0.0 if g == cg else rare(g, cg)) + (0.0 if s == cs else rare(s, cs))
+                score = LOG_NEW + p + (0.0 if g == cg else rare(g, cg)) + (0.0 if s == cs else rare(s, cs))
             best = max(best, score)
     return best
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("v_id", "c_id", "v_label", "c_label", "v_known", "c_known", "nicks", "v_given", "c_given", "c_freq", "series_freq", "series_labels", "total")
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            v, c = parse(r["v_label"]), parse(r["c_label"])
+        for v_id, c_id, v_label, c_label, v_known, c_known, nicks, v_given, c_given, freq, series_freq, series_labels, total in zip(*(batch.column(n).to_pylist() for n in names)):
+            v, c = parse(v_label), parse(c_label)
             if not v or not c:
                 continue
-            p = channel(v, c)
-            if p <= NEVER / 2:
+            happened = channel(v, c, frozenset([(v_given, c_given)]) if nicks else frozenset())
+            if happened is None:
                 continue
-            known = {x["word"]: x["support"] for x in [*(r["v_known"] or []), *(r["c_known"] or [])]}
-            prior = math.log((r["c_freq"] + 3.0) / (r["series_freq"] + 3.0 * r["series_labels"]))
-            prior = max(prior, math.log(1.5 / max(3, r["series_labels"])))  # a rare spelling may be that of a frequent person
-            out.append((r["series"], r["v_id"], r["c_id"], prior + p, own_person(v, c, known, max(200.0, r["total"]))))
+            known = {x["word"]: x["support"] for x in [*(v_known or []), *(c_known or [])]}
+            prior = math.log((freq + 3.0) / (series_freq + 3.0 * series_labels))
+            prior = max(prior, math.log(1.5 / max(3, series_labels)))  # a rare spelling may be that of a frequent person
+            out.append((v_id, c_id, prior, happened, own_person(v, c, known, max(200.0, total))))
         cols = list(zip(*out)) or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SCORED.split(", ")])
 
 
+def learnt_nicknames(base: DataFrame) -> DataFrame:
+    """(a, b), both ways round, of given names that go with one surname in the same series so often that they must be
+    name and nickname, or of which one stands in quotes behind the other. Counted over families, of which each gives
+    the distinct given names it has."""
+    family = base.where("series is not null and level = 3 and given is not null and surname is not null").select("series", "surname", "given").distinct()
+    n = family.groupBy("given").agg(F.count("*").alias("n"))
+    both = family.withColumnRenamed("given", "a").join(family.withColumnRenamed("given", "b"), ["series", "surname"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    often = both.where(F.col("k") >= NICK_FAMILIES).join(n.select(F.col("given").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("given").alias("b"), F.col("n").alias("n_b")), "b").where(F.col("k") >= NICK_SHARE * F.least("n_a", "n_b"))
+    quoted = base.where("quoted is not null and given is not null and quoted <> given").select(F.least("given", "quoted").alias("a"), F.greatest("given", "quoted").alias("b"))
+    found = often.select("a", "b").unionByName(quoted).distinct()
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def estimated(pairs: DataFrame, n_labels: int, rounds: int = OP_ROUNDS) -> list[float]:
+    """log likelihood of each of ``OPS`` by expectation-maximisation over scored pairs: how often it happened among the
+    attachments expected under the last estimate. One row of as many sums as there are operations reaches the driver."""
+    theta = list(PRIOR)
+    for _ in range(rounds):
+        score = F.exp(F.least(F.col("prior") + likelihood(theta), F.lit(0.0)))
+        with_score = pairs.select("v_id", "ops", score.alias("w"), F.exp(F.least("alone", F.lit(0.0))).alias("own"))
+        of_label = with_score.groupBy("v_id").agg((F.sum("w") + F.max("own")).alias("all"), *[F.sum(F.col("w") * F.col("ops")[i]).alias(f"s{i}") for i in range(len(NAMES))])
+        row = of_label.agg(*[F.sum(F.try_divide(F.col(f"s{i}"), F.col("all"))).alias(f"s{i}") for i in range(len(NAMES))]).collect()[0]
+        theta = [math.log(min(0.9, ((row[f"s{i}"] or 0.0) + OP_WEIGHT * math.exp(p)) / (n_labels + OP_WEIGHT))) for i, p in enumerate(PRIOR)]
+    return theta
+
+
+def likelihood(theta: list[float]) -> Column:
+    """log P(variant | canonical) of a scored pair."""
+    total = F.lit(0.0)
+    for i, p in enumerate(theta):
+        total = total + F.col("ops")[i] * F.lit(p)
+    return total
+
+
 def spelling_key(label: Column) -> Column:
     """Letters and digits in lower case."""
     return F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]", "")
@@ -332,7 +406,7 @@ def attribute(labels: DataFrame, uses: DataFrame) -> DataFrame:
     counted = spelling_counts(uses)
     parsed = once.repartition(n, "label_id").mapInArrow(_parse, PARSED)
     frequent = lookup_join(parsed.withColumn("key", spelling_key(F.col("label"))), counted, ["series", "key"], salt_by="label_id")
-    base = stage(frequent.select("label_id", "series", "label", "level", "keys", "words", F.coalesce("uses", F.lit(0)).alias("freq")), "labels")
+    base = stage(frequent.select(*parsed.columns, F.coalesce("uses", F.lit(0)).alias("freq")), "labels")
     good = base.where("series is not null and level > 0")
     by_series = good.groupBy("series").agg(F.sum("freq").alias("series_freq"), F.count("*").alias("series_labels"))
     word = good.select("label_id", "series", F.explode("words").alias("word"))
@@ -342,15 +416,27 @@ def attribute(labels: DataFrame, uses: DataFrame) -> DataFrame:
     support = in_series.join(over, "word").select("series", "word", ((F.col("n_series") - 1) + 0.5 * (F.col("n_labels") - 1)).alias("support"))
     known = lookup_join(word, support, ["series", "word"], salt_by="label_id").groupBy("label_id").agg(F.collect_list(F.struct("word", "support")).alias("known"))
     seen = F.coalesce(F.array_min(F.transform("known", lambda x: x["support"])), F.lit(0.0)) >= 0.5  # every word has other uses
-    rank = F.struct(F.col("level"), seen.alias("seen"), F.col("freq"), (-F.col("label_id")).alias("id"))
-    ranked = stage(good.join(known, "label_id", "left").select("label_id", "series", "label", "freq", "known", rank.alias("rank"), "keys"), "ranked")
-    side = ranked.select("label_id", "series", "label", "freq", "known", "rank", F.explode("keys").alias("key"))
-    v = side.select("series", "key", F.col("label_id").alias("v_id"), F.col("label").alias("v_label"), F.col("rank").alias("v_rank"), F.col("known").alias("v_known"))
-    c = side.select("series", "key", F.col("label_id").alias("c_id"), F.col("label").alias("c_label"), F.col("freq").alias("c_freq"), F.col("rank").alias("c_rank"), F.col("known").alias("c_known"))
-    met = v.join(c, ["series", "key"]).where("c_rank > v_rank").drop("key", "v_rank", "c_rank").dropDuplicates(["v_id", "c_id"])
-    facts = lookup_join(met, by_series.crossJoin(total), ["series"], salt_by="v_id")  # total is one row
-    scored = facts.repartition(n, "v_id", "c_id").mapInArrow(_score, SCORED)
-    best = scored.groupBy("v_id").agg(F.max(F.struct("score", F.col("c_id").alias("id"))).alias("best"), F.max("alone").alias("alone"))
+    rank = F.struct(F.col("level"), F.col("freq"), seen.alias("seen"), (-F.col("label_id")).alias("id"))
+    ranked = stage(good.join(known, "label_id", "left").select("label_id", "series", "label", "level", "freq", "known", rank.alias("rank"), "keys", "given", "surname", "quoted"), "ranked")
+    nicks = stage(learnt_nicknames(ranked), "nicknames")
+    # Blocks: narrow rows meet; of a block of many labels the variants are dealt out and the candidates copied to each part.
+    alone = F.col("surname").isNull() & F.col("given").isNotNull()
+    by_nick = lookup_join(ranked.where(alone).select("label_id", "series", "level", "rank", F.col("given").alias("a")), nicks, ["a"], "inner", salt_by="label_id")
+    side = ranked.select("label_id", "series", "level", "rank", F.explode("keys").alias("key")).unionByName(by_nick.select("label_id", "series", "level", "rank", F.concat(F.lit("n:"), "b").alias("key")))
+    sizes = side.groupBy("series", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    parts = lookup_join(side, sizes.withColumn("parts", F.ceil(F.col("n") / BLOCK)).drop("n"), ["series", "key"], salt_by="label_id").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    v = parts.where(~F.col("key").startswith("n:") | (F.col("level") == 1)).select("series", "key", F.pmod(F.xxhash64("label_id"), F.col("parts")).alias("part"), F.col("label_id").alias("v_id"), F.col("rank").alias("v_rank"))
+    c = parts.select("series", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("label_id").alias("c_id"), F.col("rank").alias("c_rank"))
+    met = v.join(c, ["series", "key", "part"]).where("c_rank > v_rank").select("v_id", "c_id").distinct()
+    facts = ranked.select("label_id", "series", "label", "freq", "known", "given")
+    one = lookup_join(met, facts.select(F.col("label_id").alias("v_id"), "series", F.col("label").alias("v_label"), F.col("known").alias("v_known"), F.col("given").alias("v_given")), ["v_id"], "inner")
+    two = lookup_join(one, facts.select(F.col("label_id").alias("c_id"), F.col("label").alias("c_label"), F.col("known").alias("c_known"), F.col("freq").alias("c_freq"), F.col("given").alias("c_given")), ["c_id"], "inner")
+    told = lookup_join(two, nicks.select(F.col("a").alias("v_given"), F.col("b").alias("c_given"), F.lit(True).alias("nicks")), ["v_given", "c_given"], salt_by="v_id").withColumn("nicks", F.coalesce("nicks", F.lit(False)))
+    whole = lookup_join(told, by_series.crossJoin(total), ["series"], salt_by="v_id")  # total is one row
+    scored = stage(whole.repartition(n, "v_id", "c_id").mapInArrow(_score, SCORED), "scored")
+    theta = estimated(scored, good.count())
+    rated = scored.select("v_id", "c_id", (F.col("prior") + likelihood(theta)).alias("score"), "alone")
+    best = rated.groupBy("v_id").agg(F.max(F.struct("score", F.col("c_id").alias("id"))).alias("best"), F.max("alone").alias("alone"))
     edges = stage(best.where("best.score > alone").select("v_id", F.col("best.id").alias("c_id")), "attached")
     while True:  # pointer jumping: chains halve each time
         up = edges.select(F.col("v_id").alias("c_id"), F.col("c_id").alias("up"))
