@@ -135,3 +135,76 @@ def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, names.attribute(df, u).collect()))
     monkeypatch.setattr(names, "BLOCK", 3)
     assert sorted(map(tuple, names.attribute(df, u).collect())) == whole and len(whole) == 27
+
+
+def test_blocking_reaches_wrong_and_missing_scenes(spark):
+    s, d, want = corpus(3, 260)
+    rng = random.Random(9)
+    s = [(*r[:3], rng.choice([r[3], r[3], r[3], None, 1, 17]), *r[4:]) for r in s]
+    pairs = {(r.dialogue_id, r.sent_id) for r in linkage.candidate_pairs(spark.createDataFrame(s, SEN), spark.createDataFrame(d, DIA)).collect()}
+    assert len(pairs & want) >= 0.98 * len(want)  # with half of the scenes wrong or missing
+    bare = [(*r[:3], None, *r[4:]) for r in s]  # no scene at all: places in proportion, and word triples
+    pairs = linkage.candidate_pairs(spark.createDataFrame(bare, SEN), spark.createDataFrame(d, DIA)).collect()
+    assert len({(r.dialogue_id, r.sent_id) for r in pairs} & want) >= 0.95 * len(want)
+    assert len({(r.dialogue_id, r.sent_id) for r in pairs}) == len(pairs)  # a pair of several passes counts once
+
+
+def test_stock_phrases_meet_near_their_place(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "STOCK", 3)
+    monkeypatch.setattr(linkage, "STOCK_BLOCK", 8)
+    s, d, want = corpus(4, 200)
+    pairs = {(r.dialogue_id, r.sent_id) for r in linkage.candidate_pairs(spark.createDataFrame(s, SEN), spark.createDataFrame(d, DIA)).collect()}
+    assert len(pairs & want) >= 0.97 * len(want)
+
+
+def test_decoding_joins_a_line_at_any_distance():
+    row = lambda pos, line, begin, finish, c: {"pos": pos, "line": line, "begin": begin, "finish": finish, "confidence": c, "sent_id": pos, "dialogue_id": line}
+    # 60 weak candidates of other lines stand between the two halves of line 5.
+    rows = [row(1, 5, 0, 4, 0.95), *[row(2, 100 + k, 0, 2, 0.03) for k in range(60)], row(3, 5, 4, 8, 0.95)]
+    assert [(r["pos"], r["line"]) for r in linkage.decode(rows)] == [(1, 5), (3, 5)]
+
+
+def best_total(rows):
+    """The greatest total over all order-preserving choices, by trying every state before."""
+    import math
+
+    rows = sorted(rows, key=lambda r: (r["pos"], r["line"], r["begin"]))
+    totals = []
+    for i, r in enumerate(rows):
+        best = 0.0
+        for j, q in enumerate(rows[:i]):
+            step, gone = r["line"] - q["line"], r["pos"] - q["pos"]
+            if gone <= 0 or step < 0:
+                continue
+            if step == 0:
+                free = q["finish"] <= r["begin"] + 1
+                if not free and not (q["begin"] < r["begin"] and q["finish"] < r["finish"]):
+                    continue
+                price = 0.0 if free else linkage.SKIP
+            else:
+                price = 0.0 if step == 1 else min(linkage.LEAP, linkage.SKIP + linkage.STEP * max(0, step - gone))
+            best = max(best, totals[j] - price)
+        totals.append(best + math.log(r["confidence"] / (1 - r["confidence"])) + 1.0 if best + math.log(r["confidence"] / (1 - r["confidence"])) + 1.0 > 0 else -1e9)
+    return max(totals, default=0.0), rows, totals
+
+
+def test_decoding_against_every_choice():
+    import math
+
+    rng = random.Random(12)
+    for _ in range(300):
+        rows = []
+        for pos in range(rng.randrange(1, 14)):
+            for line in rng.sample(range(12), rng.randrange(0, 4)):
+                begin = rng.randrange(8)
+                rows.append({"pos": pos, "line": line, "begin": begin, "finish": begin + rng.randrange(1, 5), "confidence": rng.choice([0.1, 0.4, 0.8, 0.95]), "sent_id": pos, "dialogue_id": line})
+        want, _, _ = best_total(rows)
+        chosen, total = linkage.decode(rows), 0.0
+        for k, r in enumerate(chosen):
+            price = 0.0
+            if k:
+                q = chosen[k - 1]
+                step, gone = r["line"] - q["line"], r["pos"] - q["pos"]
+                price = (0.0 if q["finish"] <= r["begin"] + 1 else linkage.SKIP) if step == 0 else 0.0 if step == 1 else min(linkage.LEAP, linkage.SKIP + linkage.STEP * max(0, step - gone))
+            total += math.log(r["confidence"] / (1 - r["confidence"])) + 1.0 - price
+        assert abs(total - max(want, 0.0)) < 1e-9
