@@ -8,16 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup side is broadcast; beyond it the join is shuffled and salted.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of text up to which a lookup side is broadcast; beyond either the join is shuffled and salted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a private folder only where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a private folder only where that is unset and all runs on one machine."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="turnloom-"))
     return _own[0]
@@ -44,10 +46,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salt_by: str | None = None, salts: int = 8) -> DataFrame:
-    """Join a lookup table. The lookup is counted first: up to ``BROADCAST_ROWS`` rows it is broadcast,
-    beyond that both sides are shuffled on the keys, the left one salted by ``salt_by`` so that a hot
-    key is spread over ``salts`` tasks."""
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Join a lookup table. The lookup is measured first: up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes, as
+    JSON has them, it is broadcast, beyond that both sides are shuffled on the keys, the left one salted by
+    ``salt_by`` so that a hot key is spread over ``salts`` tasks."""
+    bytes_ = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*right.columns)))), F.lit(0)).alias("b")
+    size = right.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), bytes_).collect()[0]
+    if size["n"] <= BROADCAST_ROWS and size["b"] <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), keys, how)
     if salt_by is None:
         return left.join(right, keys, how)

@@ -58,13 +58,22 @@ def interaction_entropy(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scene_metrics(nodes: DataFrame, edges: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """Size, density, duration, interaction edges and their density, and entropy of each scene graph."""
+    """Size, components, density, duration, interaction edges and their density, and entropy of each scene graph."""
     real = edges.groupBy(*keys).agg(F.count_if((F.col("adjacency") > 0) | (F.col("proximity") > 0)).alias("n_interaction_edges"))
     spans = bounds.select(*keys, (F.col("end_s") - F.col("start_s")).alias("duration_s"))
     whole = graph_density(nodes, edges, keys).join(spans, keys, "left").join(real, keys, "left").join(interaction_entropy(edges, keys), keys, "left")
     possible = F.col("n_nodes") * (F.col("n_nodes") - 1)
     ratio = F.when(F.col("n_nodes") > 1, 2.0 * F.col("n_interaction_edges") / possible).otherwise(0.0)
-    return whole.withColumns({"n_interaction_edges": F.coalesce("n_interaction_edges", F.lit(0)), "entropy": F.coalesce("entropy", F.lit(0.0))}).withColumn("interaction_density", ratio)
+    return whole.withColumns({"n_interaction_edges": F.coalesce("n_interaction_edges", F.lit(0)), "entropy": F.coalesce("entropy", F.lit(0.0))}).withColumn("interaction_density", ratio).join(component_counts(nodes, edges, keys), keys, "left")
+
+
+def component_counts(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_components. A graph with every possible edge has one; only others are walked."""
+    size = graph_density(nodes, edges, keys)
+    full = 2 * F.col("n_edges") >= F.col("n_nodes") * (F.col("n_nodes") - 1)
+    open_ = size.where(~full).select(*keys)
+    walked = connected_components(nodes.join(open_, keys, "left_semi"), edges.join(open_, keys, "left_semi"), keys)
+    return size.where(full).select(*keys, F.lit(1).cast("bigint").alias("n_components")).unionByName(walked.groupBy(*keys).agg(F.countDistinct("component").alias("n_components")))
 
 
 def edge_birth_death(edges: DataFrame) -> DataFrame:

@@ -65,20 +65,35 @@ def word_sessionization(words: DataFrame, entity: list[str], pos: str, gap: floa
 
 
 def event_sessions(events: DataFrame, gap_s: float = 4 * 3600.0) -> DataFrame:
-    """Sessions of each user of the event stream: user_id, session, n_events, start and end."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    """Sessions of each user of the event stream: user_id, session, n_events, start and end. A user's days are worked on
+    apart; each hands on its last time and its number of sessions."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = events.select("user_id", "event_id", "ts", at.alias("_t"))
-    marked = timed.withColumn("_new", F.when(F.coalesce(F.col("_t") - F.lag("_t").over(w) < gap_s * 1e6, F.lit(False)), 0).otherwise(1))
-    numbered = marked.withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-
-
-def estimate_end_times(rows: DataFrame, entity: list[str], tie: list[str], least: float = 0.5) -> DataFrame:
-    """A missing end, or one not after the start, becomes the next start, but at least ``least`` after its own start."""
-    w = W.partitionBy(*entity).orderBy("start_s", *tie)
-    guess = F.greatest(F.col("start_s") + least, F.lead("start_s").over(w))
-    return rows.withColumn("end_s", F.when(F.col("end_s").isNull() | (F.col("end_s") <= F.col("start_s")), guess).otherwise(F.col("end_s")))
+    timed = events.select("user_id", "event_id", "ts", at.alias("_t"), F.floor(at / 86_400_000_000).alias("_day"))
+    inside, across = W.partitionBy("user_id", "_day").orderBy("ts", "event_id"), W.partitionBy("user_id").orderBy("_day")
+    last = timed.groupBy("user_id", "_day").agg(F.max("_t").alias("_end")).select("user_id", "_day", F.lag("_end").over(across).alias("_before"))
+    joined = timed.join(last.withColumnRenamed("user_id", "_u").withColumnRenamed("_day", "_d"), F.col("user_id").eqNullSafe(F.col("_u")) & F.col("_day").eqNullSafe(F.col("_d")), "left").drop("_u", "_d")
+    gap = F.col("_t") - F.coalesce(F.lag("_t").over(inside), "_before")
+    marked = joined.withColumn("_new", F.when(F.coalesce(gap < gap_s * 1e6, F.lit(False)), 0).otherwise(1))
+    upto = F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    parts = marked.withColumn("_n", upto).groupBy("user_id", "_day", "_n").agg(F.count("*").alias("n_events"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max("_new").alias("_fresh"))
+    days = parts.groupBy("user_id", "_day").agg(F.sum("_fresh").alias("_of_day")).select("user_id", "_day", F.coalesce(F.sum("_of_day").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_sum"))
+    placed = parts.join(days.withColumnRenamed("user_id", "_u").withColumnRenamed("_day", "_d"), F.col("user_id").eqNullSafe(F.col("_u")) & F.col("_day").eqNullSafe(F.col("_d")))
+    return placed.withColumn("session", F.col("_n") + F.col("_sum")).groupBy("user_id", "session").agg(F.sum("n_events").alias("n_events"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+
+
+def estimate_end_times(rows: DataFrame, entity: list[str], tie: list[str], least: float = 0.5, width: float = 600.0) -> DataFrame:
+    """A missing end, or one not after the start, becomes the next start, but at least ``least`` after its own start.
+    Stretches of ``width`` seconds are worked on apart; each hands its first start to the one before."""
+    keyed = rows.withColumn("_k", F.floor(F.col("start_s") / width))
+    inside, across = W.partitionBy(*entity, "_k").orderBy("start_s", *tie), W.partitionBy(*entity).orderBy(F.col("_k").asc_nulls_first())
+    firsts = keyed.groupBy(*entity, "_k").agg(F.min("start_s").alias("_first")).select(*[F.col(c).alias(f"_e_{c}") for c in entity], F.col("_k").alias("_j"), F.lead("_first").over(across).alias("_after"))
+    same = F.col("_k").eqNullSafe(F.col("_j"))
+    for c in entity:
+        same = same & F.col(c).eqNullSafe(F.col(f"_e_{c}"))
+    near = keyed.withColumn("_next", F.lead("start_s").over(inside)).join(firsts, same, "left")
+    guess = F.greatest(F.col("start_s") + least, F.coalesce("_next", "_after"))
+    done = near.withColumn("end_s", F.when(F.col("end_s").isNull() | (F.col("end_s") <= F.col("start_s")), guess).otherwise(F.col("end_s")))
+    return done.select(*rows.columns)
 
 
 def fill_scene_ids(rows: DataFrame, entity: list[str], pos: str, first: int = 1) -> DataFrame:
@@ -119,9 +134,22 @@ def nearest_known_speaker(rows: DataFrame, entity: list[str], pos: str) -> DataF
 
 
 def review_queue(rows: DataFrame, entity: list[str], pos: str, flagged: Column, context: int = 2) -> DataFrame:
-    """The flagged rows with up to ``context`` rows on either side."""
-    near = W.partitionBy(*entity).orderBy(pos).rowsBetween(-context, context)
-    return rows.withColumn("_keep", F.max(F.when(flagged, 1).otherwise(0)).over(near)).where("_keep = 1").drop("_keep")
+    """The flagged rows with up to ``context`` rows on either side. Rows are numbered in blocks; a flagged one asks for the
+    numbers around it."""
+    numbered = running_sum(rows.withColumn("_flag", flagged), entity, pos, F.lit(1), "_nr")
+    asked = numbered.where("_flag").select(*entity, F.explode(F.sequence(F.col("_nr") - context, F.col("_nr") + context)).alias("_nr")).distinct()
+    return numbered.join(asked, [*entity, "_nr"], "left_semi").select(*rows.columns)
+
+
+def restore_by_position(rows: DataFrame, original: DataFrame, entity: list[str], pos: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of the rows of ``original`` that stand at the same place of their entity, both in the order
+    of ``pos``. An entity with more rows on either side is an error."""
+    numbered = running_sum(rows, entity, pos, F.lit(1), "_nr")
+    given = running_sum(original.select(*entity, pos, *columns), entity, pos, F.lit(1), "_nr").select(*entity, "_nr", *columns, F.lit(True).alias("_there")).drop(pos)
+    met = numbered.drop(*columns).withColumn("_here", F.lit(True)).join(given, [*entity, "_nr"], "full")
+    fits = F.col("_here").isNotNull() & F.col("_there").isNotNull()
+    checked = met.withColumn("_nr", F.when(fits, F.col("_nr")).otherwise(F.raise_error(F.concat(F.lit("row counts differ: "), F.coalesce(F.col(entity[0]).cast("string"), F.lit("?"))))))
+    return checked.where("_nr is not null").select(*rows.columns, *[c for c in columns if c not in rows.columns])
 
 
 def scene_by_dialogue(events: DataFrame, entity: list[str], pos: str) -> DataFrame:
@@ -236,3 +264,23 @@ def sliding_window_best(similarity: DataFrame, entity: list[str], left: str, rig
     top = scored.groupBy(*entity).agg(F.max(F.struct("score", -F.col(right), "n")).alias("m"))
     start = -F.col("m.col2")
     return top.select(*entity, start.alias("start_idx"), F.least(start + size, F.col("m.n")).alias("end_idx"), F.col("m.score").alias("score"))
+
+
+def episode_window(similarity: DataFrame, entity: list[str], left: str, right: str, value: str, n_right: DataFrame, size: int | None = None) -> DataFrame:
+    """Where the left rows lie among the right ones: the first window of greatest average best similarity, as entity,
+    start_idx, end_idx (exclusive), score. ``size`` defaults to 1.2 times the left rows plus 5; every 25th part of the
+    left rows is compared. A window as long as the right side is the whole; entities of ``n_right`` (entity, n) without
+    left rows get the whole, with score null."""
+    if size is not None and size <= 0:
+        raise ValueError(f"the window must be positive, not {size}")
+    rows = similarity.groupBy(*entity, left).agg(F.transform(F.array_sort(F.collect_list(F.struct(right, value))), lambda x: x[value]).alias("_row"))
+    n_left = rows.groupBy(*entity).agg((F.max(left) + 1).alias("_m"))
+    sized = n_right.join(n_left, entity, "left").withColumn("_w", F.least(F.col("n"), F.lit(size) if size else (F.floor(F.col("_m") * 1.2) + 5)))
+    todo = sized.where("_m is not null and _w < n")
+    step = F.greatest(F.lit(1), F.floor(F.col("_m") / 25))
+    sampled = rows.join(todo, entity).where(F.col(left) % step == 0)
+    spans = sampled.select(*entity, "n", "_w", F.posexplode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - F.col("_w")), lambda j: F.array_max(F.slice("_row", (j + 1).cast("int"), F.col("_w").cast("int"))))).alias("_j", "_best"))
+    scored = spans.groupBy(*entity, "_j", "_w").agg((F.floor(F.sum(F.round(F.col("_best") * 1e6).cast("bigint")) / F.count("*")) / 1e6).alias("score"))
+    top = scored.groupBy(*entity).agg(F.max(F.struct("score", -F.col("_j"), "_w")).alias("t")).select(*entity, (-F.col("t.col2")).cast("bigint").alias("start_idx"), (-F.col("t.col2") + F.col("t._w")).cast("bigint").alias("end_idx"), F.col("t.score").alias("score"))
+    whole = sized.where("_m is null or _w >= n").select(*entity, F.lit(0).cast("bigint").alias("start_idx"), F.col("n").cast("bigint").alias("end_idx"), F.lit(None).cast("double").alias("score"))
+    return top.unionByName(whole)

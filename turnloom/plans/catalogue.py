@@ -288,6 +288,26 @@ def sliding_window_best(spark, d):
     return sequence.sliding_window_best(sim, ["root", "scene_id"], "sent_id", "j", "sim", 5, n)
 
 
+@query
+def episode_window_search(spark, d):
+    """Where the sentences of a scene lie among its lines, by the default window."""
+    from pyspark.sql import Window as W
+
+    o = _overlaps(spark, d)
+    keys = ["root", "scene_id"]
+    at = o.select(*keys, "dialogue_id", "dialogue_idx").distinct().withColumn("j", F.row_number().over(W.partitionBy(*keys).orderBy("dialogue_idx", "dialogue_id")) - 1)
+    said = o.select(*keys, "sent_id", "sentence_id").distinct().withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("sentence_id", "sent_id")) - 1)
+    sim = o.join(at.select("dialogue_id", "j"), "dialogue_id").join(said.select("sent_id", "i"), "sent_id").select(*keys, "i", "j", "sim")
+    return sequence.episode_window(sim, keys, "i", "j", "sim", at.groupBy(*keys).agg(F.count("*").alias("n")))
+
+
+@query
+def restore_times(spark, d):
+    """Times put back by position into rows that had lost them."""
+    s = A.sentences(spark, d)
+    return sequence.restore_by_position(s.select("sent_id", "episode", "sentence_id"), s, EP, "sentence_id", ["start_s", "end_s"])
+
+
 # Text
 
 

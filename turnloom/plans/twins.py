@@ -258,3 +258,16 @@ ORACLES["qa_final_rows"] = f"WITH RECURSIVE {CORRECTED} SELECT sent_id, speaker,
 ORACLES["qa_summary"] = f"""WITH RECURSIVE {CORRECTED}, WS AS (SELECT season, episode, count_if(review_flag) AS review_rows_before_qa FROM CK GROUP BY ALL)
 SELECT season, episode, count(*) AS rows, any_value(review_rows_before_qa) AS review_rows_before_qa, count_if(review_flag) AS review_rows_after_qa, count_if(notes LIKE '%speaker_ct mismatch override%') AS speaker_ct_overrides, count_if(coalesce(fix, '') = 'bridge') AS scene_bridge_fixes,
     count_if(coalesce(fix, '') IN ('anomaly', 'unsupported')) AS scene_anomaly_fixes, count_if(resolved IS NOT NULL) AS review_rows_resolved, count_if(trim(speaker) = '') AS remaining_unresolved_rows FROM QF JOIN WS USING (season, episode) GROUP BY season, episode"""
+
+ORACLES["restore_times"] = f"WITH {O.S} SELECT sent_id, episode, sentence_id, start_s, end_s FROM S"
+ORACLES["episode_window_search"] = f"""WITH {O.OVERLAP}, PJ AS (SELECT root, scene_id, dialogue_id, row_number() OVER (PARTITION BY root, scene_id ORDER BY dialogue_idx, dialogue_id) - 1 AS j, count(*) OVER (PARTITION BY root, scene_id) AS n FROM (SELECT DISTINCT root, scene_id, dialogue_id, dialogue_idx FROM O)),
+PI AS (SELECT root, scene_id, sent_id, row_number() OVER (PARTITION BY root, scene_id ORDER BY sentence_id, sent_id) - 1 AS i, count(*) OVER (PARTITION BY root, scene_id) AS m FROM (SELECT DISTINCT O.root, O.scene_id, O.sent_id, X.sentence_id FROM O JOIN X USING (sent_id))),
+RW AS (SELECT O.root, O.scene_id, i, m, n, least(n, floor(m * 1.2::DOUBLE)::BIGINT + 5) AS w, list(sim ORDER BY j) AS r FROM O JOIN PJ USING (dialogue_id) JOIN PI USING (sent_id) GROUP BY ALL),
+SP AS (SELECT root, scene_id, w, unnest(range(n - w + 1)) AS j, r FROM RW WHERE w < n AND i % greatest(1, m // 25) = 0),
+SC AS (SELECT root, scene_id, j, w, floor(sum(CAST(round(list_max(r[j + 1 : j + w]) * 1000000.0) AS BIGINT)) / count(*)) / 1000000.0 AS score FROM SP GROUP BY ALL)
+SELECT root, scene_id, j AS start_idx, j + w AS end_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY root, scene_id ORDER BY score DESC, j) AS k FROM SC) WHERE k = 1
+UNION ALL SELECT DISTINCT root, scene_id, 0, n, NULL FROM RW WHERE w >= n"""
+_OLD_METRICS = O.ORACLES["scene_metrics"]
+ORACLES["scene_metrics"] = f"""{O.NET.replace('WITH ', 'WITH RECURSIVE ', 1)}, {O.BOTH}, RC AS (SELECT episode, scene_id, character, character AS other FROM N UNION SELECT r.episode, r.scene_id, r.character, B.other FROM RC r JOIN B ON B.episode = r.episode AND B.scene_id = r.scene_id AND B.character = r.other),
+NC AS (SELECT episode, scene_id, count(DISTINCT least_one) AS n_components FROM (SELECT episode, scene_id, character, min(other) AS least_one FROM RC GROUP BY ALL) GROUP BY ALL)
+SELECT m.*, n_components FROM ({_OLD_METRICS}) m JOIN NC USING (episode, scene_id)"""

@@ -157,6 +157,23 @@ def read_zipped_tables(spark: SparkSession, path: str, skip: str | None = "summa
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "bundle string, name string, body string")
 
 
+def read_zipped_rows(spark: SparkSession, path: str, columns: tuple[str, ...], skip: str | None = "summary") -> DataFrame:
+    """The rows of the tables in zip archives: bundle, name, row_no and ``columns`` as strings. Columns a table lacks are
+    null, others are left out. Tables are parsed on the executors, one archive each."""
+    import csv
+    import io
+
+    import pandas as pd
+
+    def parse(batches):
+        for pdf in batches:
+            for bundle, name, body in zip(pdf["bundle"], pdf["name"], pdf["body"]):
+                rows = [(bundle, name, i, *(r.get(c) for c in columns)) for i, r in enumerate(csv.DictReader(io.StringIO(body), delimiter="\t"))]
+                yield pd.DataFrame(rows, columns=["bundle", "name", "row_no", *columns])
+
+    return read_zipped_tables(spark, path, skip).mapInPandas(parse, ", ".join(["bundle string", "name string", "row_no bigint", *(f"`{c}` string" for c in columns)]))
+
+
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lists of objects, one row for each; a file that isn't a list is an error."""
     files = _files(spark, path)
