@@ -297,3 +297,46 @@ def test_staged_tables_are_read_back(spark):
 
     df = staging.stage(spark.createDataFrame([(1, [1, 2])], "a int, b array<int>"), "x")
     assert df.collect()[0].b == [1, 2] and staging.stage(df.limit(0), "x").count() == 0
+
+
+def test_restored_positions(spark):
+    rows = spark.createDataFrame([("e", 5, "x"), ("e", 9, "y"), ("f", 1, "z")], "e string, pos int, t string")
+    given = spark.createDataFrame([("e", 1, 0.5), ("e", 2, 1.5), ("f", 7, None)], "e string, pos int, start double")
+    out = sorted((r.e, r.pos, r.start) for r in sequence.restore_by_position(rows, given, ["e"], "pos", ["start"]).collect() if r.start is not None)
+    assert out == [("e", 5, 0.5), ("e", 9, 1.5)]
+    with pytest.raises(Exception, match="row counts differ"):
+        sequence.restore_by_position(rows.limit(2), given, ["e"], "pos", ["start"]).collect()
+
+
+def test_episode_windows(spark):
+    sim = spark.createDataFrame([("e", i, j, 1.0 if j - 20 == i else 0.1) for i in range(4) for j in range(40)], "e string, i int, j int, sim double")
+    n = spark.createDataFrame([("e", 40), ("none", 12)], "e string, n bigint")
+    out = {r.e: (r.start_idx, r.end_idx) for r in sequence.episode_window(sim, ["e"], "i", "j", "sim", n).collect()}
+    assert out["e"] == (15, 24) and out["none"] == (0, 12)
+    assert sequence.episode_window(sim, ["e"], "i", "j", "sim", n, 100).where("e = 'e'").collect()[0].end_idx == 40
+    with pytest.raises(ValueError):
+        sequence.episode_window(sim, ["e"], "i", "j", "sim", n, 0)
+
+
+def test_components_of_open_graphs(spark):
+    nodes = spark.createDataFrame([("e", x) for x in "ABCD"] + [("f", "A")], "episode string, character string")
+    edges = spark.createDataFrame([("e", "A", "B", 1.0)], "episode string, source string, target string, weight double")
+    assert {r.episode: r.n_components for r in metrics.component_counts(nodes, edges, ["episode"]).collect()} == {"e": 3, "f": 1}
+
+
+def test_sessions_and_ends_over_blocks(spark):
+    from datetime import datetime, timedelta
+
+    rng, base = random.Random(3), datetime(2024, 1, 1, 22)
+    times = sorted(base + timedelta(minutes=rng.randrange(6000)) for _ in range(60))
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "user_id bigint, event_id bigint, ts timestamp")
+    got = sorted((r.session, r.n_events) for r in sequence.event_sessions(df).collect())
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= timedelta(hours=4):
+            want.append(0)
+        want[-1] += 1
+        last = t
+    assert got == list(enumerate(want, 1))
+    rows = spark.createDataFrame([("e", 0, 0.0, None), ("e", 1, 700.0, 690.0), ("e", 2, 2500.0, None), ("e", 3, None, None)], "e string, i int, start_s double, end_s double")
+    assert {r.i: r.end_s for r in sequence.estimate_end_times(rows, ["e"], ["i"]).collect()} == {0: 700.0, 1: 2500.0, 2: 2500.5, 3: 0.0}

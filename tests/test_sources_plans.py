@@ -97,12 +97,42 @@ def test_extract_annotations(spark):
 
 
 def test_command_line(spark, tmp_path):
-    src = tmp_path / "in"
+    src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
     put(src / "x_s01e01a.tsv", "scene_id\tsentence_id\tstart\tend\tutterance\tspeaker\tutterance_ct\tspeaker_ct\n" + "".join(f"1\t{i}\t{i}.0\t{i}.5\thello there\t{s}\t\t{c}\n" for i, (s, c) in enumerate([("Ann", ""), ("", "Bob"), ("", ""), ("Cy", "")], 1)))
-    cli.main(["all", "--input", str(src), "--output", str(tmp_path / "out"), "--measures", "degree"])
-    rows = readers.read_table(spark, str(tmp_path / "out" / "enhanced")).where(F.col("speaker") != "").count()
-    assert rows == 4 and (tmp_path / "out" / "episode_edges").exists() and (tmp_path / "out" / "edge_birth_death").exists()
+    cli.main(["all", "--input", str(src), "--output", str(out), "--measures", "degree", "--season", "1"])
+    enhanced = readers.read_table(spark, str(out / "enhanced"))
+    assert enhanced.where(F.col("speaker") != "").count() == 4 and {"start", "notes", "scene_speaker_set"} <= set(enhanced.columns)
+    assert {p.name for p in out.iterdir()} == {"enhanced", "review", "fill_summary", "final_cleaned", "qa_changes", "qa_summary", "qa_rollup", "scene_edges", "episode_edges", "temporal_network", "episode_network", "metrics", "scene_metrics", "centrality_timeseries", "episode_centrality", "communities", "edge_birth_death"}
+    assert readers.read_table(spark, str(out / "qa_summary")).columns[:3] == ["episode", "rows", "review_rows_before_qa"]
+    assert readers.read_table(spark, str(out / "qa_rollup")).collect()[0].total_rows == "4"
+    cli.main(["fill", "--input", str(src), "--output", str(tmp_path / "none"), "--season", "s02"])
+    assert readers.read_table(spark, str(tmp_path / "none" / "fill_summary")).count() == 0
+    with pytest.raises(ValueError):
+        cli.season_key("first")
+
+
+def test_extraction_from_the_command_line(spark, tmp_path):
+    for folder in ("said", "typed", "shots"):
+        (tmp_path / folder).mkdir()
+    put(tmp_path / "said" / "x_s01e01a.json", {"sentences": [{"text": t, "start": float(i), "end": i + 0.5, "speaker": ""} for i, t in enumerate(["we lost the old map", "look in the kitchen drawer", "that is empty too"])]})
+    put(tmp_path / "typed" / "x_s01e01_ufs.txt", "[Scene: a room]\nAnn: We lost the old map.\nBob: Look in the kitchen drawer!\n[Scene: a yard]\nAnn: That is empty, too.\n")
+    put(tmp_path / "shots" / "x_s01e01a.tsv", "onset\tduration\n0.0\t1.0\n1.0\t2.0\n")
+    out = tmp_path / "out"
+    cli.main(["extract", "--input", str(tmp_path / "said"), "--lines", str(tmp_path / "typed"), "--shots", str(tmp_path / "shots"), "--output", str(out)])
+    rows = sorted((r.sentence_id, r.speaker, r.scene_id) for r in readers.read_table(spark, str(out / "sentences")).collect())
+    assert rows == [("1", "Ann", "1"), ("2", "Bob", "1"), ("3", "Ann", "2")]
+    stats = readers.read_table(spark, str(out / "annotation_stats")).collect()[0]
+    assert (stats.n_sentences, stats.n_align) == ("3", "3") and readers.read_table(spark, str(out / "scene_summary")).count() == 2
+    with pytest.raises(ValueError):
+        cli.main(["extract", "--input", str(tmp_path / "said"), "--output", str(out)])
+
+
+def test_rows_of_zipped_tables(spark, tmp_path):
+    put(tmp_path / "a.tsv", "scene_id\tutterance\n1\thello\n2\tyes\n")
+    sinks.zip_files(str(tmp_path / "z.zip"), [tmp_path / "a.tsv"])
+    rows = readers.read_zipped_rows(spark, str(tmp_path / "z.zip"), ("utterance", "speaker")).collect()
+    assert [(r.name, r.row_no, r.utterance, r.speaker) for r in rows] == [("a.tsv", 0, "hello", None), ("a.tsv", 1, "yes", None)]
 
 
 def test_rows_without_a_scene_are_aligned(spark, tmp_path):
