@@ -81,3 +81,12 @@ def test_nearest_edge_cases(spark):
     right = [("a", 0.0, 10), ("a", 2.0, 11), ("a", None, 12), ("a", nan, 13), ("a", 5.0, 14)]
     assert near(spark, left, right, 1.5, 3) == [(1, 10), (6, 14)]
     assert near(spark, [], right, 1.5, 3) == [] and near(spark, left, [], 1.5, 3) == []
+
+
+def test_runs_over_sparse_positions(spark):
+    step = 1_700_000_000_000_000 // 97
+    rng = random.Random(8)
+    rows = [("e", 1, i * step, rng.choice("AAB"), None, None) for i in range(97)] + [("e", 1, -i * 1000, "A", None, None) for i in range(1, 40)]
+    wide = "episode string, scene_id int, sentence_id bigint, speaker string, start_s double, end_s double"
+    out = runs.collapse_runs(spark.createDataFrame(rows, wide), "episode", "scene_id", runs.speaker_key(F.col("speaker")), "sentence_id", "start_s", "end_s")
+    assert sorted((r.entity, int(r.grp), r.first_pos, r.last_pos, r.n_events) for r in out.collect()) == brute(rows)

@@ -2,8 +2,8 @@
 
 Every entity's events are cut into blocks of positions. In a block the canonical events become Unicode
 code points, the block a string, and ``(.)\\1*`` its runs. Runs touching a block's edge are events of the
-next, coarser level, where the same regex joins them; three levels cover every 32-bit position, so no task
-ever sees more than ``BLOCK`` positions or ``2 * FAN`` edge runs, however long the entity is.
+next, coarser level, where the same regex joins them, until one block is left: as many levels as the positions need,
+so no task ever sees more than ``BLOCK`` positions or ``2 * FAN`` edge runs, however long or sparse the entity is.
 """
 
 from __future__ import annotations
@@ -104,11 +104,19 @@ def collapse_runs(events: DataFrame, entity: str, group: str, symbol: Column, po
         F.nanvl(F.col(start).cast("double"), F.lit(None)).alias("start_s"),
         F.nanvl(F.col(end).cast("double"), F.lit(None)).alias("end_s"),
     ).where("entity is not null and first_pos is not null")
-    done, rest = [], base
-    for level, bits in ((1, BLOCK_BITS), (2, BLOCK_BITS + FAN_BITS)):
+    done, rest, level, bits = [], base, 1, BLOCK_BITS
+    while True:
         runs = stage(_level(rest, level, bits), f"runs{level}")
         done.append(runs.where("not edge"))
         rest = runs.where("edge").withColumn("child", F.coalesce("child", F.lit(0)))
-    done.append(_level(rest, 3, None))
-    whole = done[0].unionByName(done[1]).unionByName(done[2]).where(F.col("symbol").isNotNull() & (F.col("n_events") >= min_events))
+        level, bits = level + 1, bits + FAN_BITS
+        # One block, or one on either side of 0, holds all that is left of an entity: the last level joins it.
+        span = rest.agg(F.min(F.shiftright("first_pos", min(bits, 63))).alias("a"), F.max(F.shiftright("first_pos", min(bits, 63))).alias("b")).collect()[0]
+        if span["a"] is None or span["b"] - span["a"] <= 1:
+            break
+    done.append(_level(rest, level, None))
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.where(F.col("symbol").isNotNull() & (F.col("n_events") >= min_events))
     return whole.select("entity", "grp", "symbol", "first_pos", "last_pos", "n_events", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"))
