@@ -246,6 +246,30 @@ def test_fills():
     assert align.fill_from_anchors([]) == align.fill_directional([]) == align.fill_residual([]) == 0
 
 
+def test_fills_in_stretches_equal_whole_entities(spark):
+    rng = random.Random(21)
+    lines = ["we went home. it was late. nobody saw us", "look at the moon! it is red. run now", "call the doctor. he is out. try again", "yes"]
+    schema = "e string, idx bigint, norm string, start_s double, end_s double, scene_id int, speaker_ct string, utterance_ct string, comm_dialogue_idx bigint, match_similarity double, fill_method string"
+    rows = []
+    for e in range(60):
+        for i in range(rng.randrange(1, 30)):
+            line = rng.choice(lines)
+            text = align.norm_of(rng.choice(line.split(". ")))
+            typed = rng.random() < 0.55
+            rows.append((f"e{e}", i * 3, text, float(i), i + 0.5, rng.choice([1, 1, 2, None]), rng.choice("AB") if typed else None, line if typed else None, i if typed else None, rng.choice([0.9, 0.95]) if typed else None, "align" if typed else None))
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.e, r.idx): (r.speaker_ct, r.utterance_ct, r.fill_method, r.filled_from, r.scene_id) for r in align.apply_fills(df, ["e"]).collect()}
+    names, filled = schema.replace(",", "").split()[::2], 0
+    for e in range(60):
+        whole = [dict(zip(names, r)) for r in rows if r[0] == f"e{e}"]
+        align.fill_stretch(whole, (align.fill_from_anchors, align.fill_directional, align.fill_residual))
+        for r in whole:
+            filled += r["filled_from"] is not None
+            assert got[r["e"], r["idx"]] == (r["speaker_ct"], r["utterance_ct"], r["fill_method"], r["filled_from"], r["scene_id"])
+    assert filled > 10 and len(got) == len(rows)
+    assert align.apply_fills(df.limit(0), ["e"]).count() == 0
+
+
 def test_similarity():
     assert S.ratio("", "") == 1.0 and S.ratio("abcd", "abxd") == 0.75 and S.lcs_length("xaxbxc", "abc") == 3
     assert S.token_set_ratio("a b", "b a c") == 1.0 and S.text_similarity("", "a") == 0.0 and S.text_similarity("same words", "same words") == 1.0

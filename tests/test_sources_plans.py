@@ -128,6 +128,13 @@ def test_extraction_from_the_command_line(spark, tmp_path):
         cli.main(["extract", "--input", str(tmp_path / "said"), "--output", str(out)])
 
 
+def test_words_become_utterances(spark, tmp_path):
+    words = [("a", 2.0, 2.2, "ann lee"), ("b", 0.0, 0.2, "speaker_01"), ("c", 0.25, None, "SPEAKER_01"), ("d", 2.9, 3.0, "Ann Lee")]
+    path = put(tmp_path / "w.json", [{"word": w, "start": s, "end": e, "speaker": k} for w, s, e, k in words])
+    out = readers.read_utterances(spark, path, {"Speaker_01": "Bob"}).orderBy("start_s").collect()
+    assert [(r.speaker, r.text, r.start_s, r.end_s) for r in out] == [("Bob", "b c", 0.0, 0.25), ("Ann Lee", "a", 2.0, 2.2), ("Ann Lee", "d", 2.9, 3.0)]
+
+
 def test_rows_of_zipped_tables(spark, tmp_path):
     put(tmp_path / "a.tsv", "scene_id\tutterance\n1\thello\n2\tyes\n")
     sinks.zip_files(str(tmp_path / "z.zip"), [tmp_path / "a.tsv"])

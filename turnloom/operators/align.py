@@ -1,7 +1,7 @@
 """Order-preserving alignment of timed sentences with typed lines, and the fills that build on it.
 
 The alignment is quadratic in its group, so the group is chosen by the caller: a scene, or an episode of moderate
-length. The fills are folds over an episode's rows that only look at neighbours.
+length. The fills are folds over an episode's rows that only look at neighbours, and so run in stretches.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from turnloom.functions import text as T
 from turnloom.functions.similarity import text_similarity, without_best_span
+from turnloom.functions.staging import stage
+from turnloom.operators.sequence import running_sum, with_neighbours
 
 ALIGNED = "sent_idx bigint, dialogue_idx bigint, sim double"
 
@@ -237,32 +241,61 @@ def fill_residual(rows: list[dict], least: float = 0.7, removable: float = 0.55,
 
 
 FILLED = "idx bigint, scene_id int, speaker_ct string, utterance_ct string, comm_dialogue_idx bigint, match_similarity double, fill_method string, filled_from bigint"
+STATE = ["idx", "norm", "start_s", "end_s", "scene_id", "speaker_ct", "utterance_ct", "comm_dialogue_idx", "match_similarity", "fill_method"]
+
+
+def fill_stretch(rows: list[dict], steps: tuple) -> None:
+    """The fills, in order, over the rows of one stretch, in place; ``filled_from`` becomes the idx of the row that gave."""
+    for r in rows:
+        r |= {"filled_from": None, "norm": r["norm"] or ""}
+    for step in steps:
+        step(rows)
+    for r in rows:
+        r["filled_from"] = None if r["filled_from"] is None else rows[r["filled_from"]]["idx"]
 
 
 def apply_fills(mapped: DataFrame, entity: list[str], steps: tuple = (fill_from_anchors, fill_directional, fill_residual)) -> DataFrame:
     """The fills, in order, over each entity's rows by idx. Needs idx, norm, start_s, end_s and the columns of
-    ``map_speakers``; ``filled_from`` is the idx of the row that gave."""
-    kinds = ", ".join(f"{k} {dict(mapped.dtypes)[k]}" for k in entity)
-    names = [x.split()[0] for x in FILLED.split(", ")]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        for r in rows:
-            r |= {"filled_from": None, "norm": r["norm"] or ""}
-        for step in steps:
-            step(rows)
-        for r in rows:
-            r["filled_from"] = None if r["filled_from"] is None else rows[r["filled_from"]]["idx"]
-        out = pd.DataFrame(rows, columns=names) if rows else pd.DataFrame(columns=names)
-        for c in ("scene_id", "comm_dialogue_idx", "filled_from"):
-            out[c] = out[c].astype("Int64")
-        out["match_similarity"] = out.match_similarity.astype("float64")
-        for k, v in reversed(list(zip(entity, key))):
-            out.insert(0, k, v)
-        return out
+    ``map_speakers``; ``filled_from`` is the idx of the row that gave.
 
-    columns = [*entity, "idx", "norm", "start_s", "end_s", "scene_id", "speaker_ct", "utterance_ct", "comm_dialogue_idx", "match_similarity", "fill_method"]
-    return mapped.select(*columns).groupBy(*entity).applyInPandas(run, f"{kinds}, {FILLED}")
+    A fill looks at blank rows and the mapped rows beside them only, so an entity is cut wherever two mapped rows follow
+    each other: the stretches in between are filled apart, and those without a blank or without a mapped row not at all.
+    """
+    names = [x.split()[0] for x in FILLED.split(", ")]
+    blank = F.coalesce("speaker_ct", F.lit("")) == ""
+    near = with_neighbours(stage(mapped.select(*entity, *STATE), "mapped"), entity, "idx", F.struct(blank.alias("blank")))
+    cut = F.coalesce(~blank & ~F.col("_prev.blank"), F.lit(True))
+    pieces = running_sum(near.withColumn("_cut", F.when(cut, 1).otherwise(0)).drop("_prev", "_next"), entity, "idx", F.col("_cut"), "_part").drop("_cut")
+    some = pieces.groupBy(*entity, "_part").agg((F.max(blank) & F.max(~blank)).alias("_todo"))
+    marked = stage(pieces.join(some, [*entity, "_part"], "left"), "stretches")
+    still = marked.where(~F.coalesce("_todo", F.lit(False))).select(*entity, *names[:-1], F.lit(None).cast("bigint").alias("filled_from"))
+    todo = marked.where("_todo").drop("_todo")
+    kinds = dict(todo.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in entity) + ", " + FILLED
+    types = todo.select(*entity, *names[:-1], F.lit(None).cast("bigint").alias("filled_from")).schema
+
+    def run(batches):
+        held: list[dict] = []
+        key = None
+        arrow = to_arrow_schema(types)
+
+        def filled():
+            fill_stretch(held, steps)
+            return pa.RecordBatch.from_pylist([{c: r[c] for c in arrow.names} for r in held], schema=arrow)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                this = (*(r[k] for k in entity), r["_part"])
+                if held and this != key:
+                    yield filled()
+                    held = []
+                key = this
+                held.append(r)
+        if held:
+            yield filled()
+
+    done = todo.repartition(*entity, "_part").sortWithinPartitions(*entity, "_part", "idx").mapInArrow(run, schema)
+    return still.unionByName(done)
 
 
 def alignment_rows(sentences: DataFrame, aligned: DataFrame, lines: DataFrame, scenes: DataFrame, keys: list[str], threshold: float = 0.52) -> DataFrame:

@@ -242,6 +242,23 @@ def interval_join_words(spark, d):
     return sequence.words_to_sentences(w, s, EP)
 
 
+def _spoken_words(spark, d):
+    w = A.utterances(spark, d).select("episode", "idx", "start_s", "end_s")
+    s = A.sentences(spark, d).where("start_s is not null").select("episode", F.col("sentence_id").alias("idx"), "start_s", "end_s", "speaker")
+    return pipeline.words_with_speakers(w, s, EP)
+
+
+@query
+def word_speakers(spark, d):
+    """Each word with its sentence's speaker."""
+    return _spoken_words(spark, d)
+
+
+@query
+def word_stats(spark, d):
+    return pipeline.word_stats(_spoken_words(spark, d), EP)
+
+
 @query
 def unique_group_propagation(spark, d):
     rows = A.matched_sentences(spark, d).select("sent_id", "episode", "scene_id", "norm", "speaker_ct")

@@ -26,6 +26,19 @@ def extract_annotations(sentences: DataFrame, lines: DataFrame, keys: list[str],
     return sequence.fill_scene_ids(done, fills, "idx")
 
 
+def words_with_speakers(words: DataFrame, sentences: DataFrame, entity: list[str]) -> DataFrame:
+    """Words with the sentence they belong to and its speaker (empty if the sentence has none, null if the word has no
+    sentence). Both sides as for ``words_to_sentences``; the sentences have speaker too."""
+    placed = sequence.words_to_sentences(words, sentences, entity)
+    said = sentences.select(*entity, F.col("idx").alias("sentence_idx"), F.coalesce(F.trim("speaker"), F.lit("")).alias("speaker"))
+    return placed.join(said, [*entity, "sentence_idx"], "left").select(*entity, "idx", "sentence_idx", "speaker")
+
+
+def word_stats(words: DataFrame, entity: list[str]) -> DataFrame:
+    """How many words have a sentence, and how many a speaker."""
+    return words.groupBy(*entity).agg(F.count("*").alias("n_words"), F.count("sentence_idx").alias("n_in_sentences"), F.count_if(F.coalesce("speaker", F.lit("")) != "").alias("n_with_speaker"))
+
+
 def annotation_stats(done: DataFrame, entity: list[str]) -> DataFrame:
     """How many sentences each stage gave a speaker, and how many have none."""
     by = lambda m: F.count_if(F.col("fill_method") == m).alias(f"n_{m}")

@@ -271,3 +271,7 @@ _OLD_METRICS = O.ORACLES["scene_metrics"]
 ORACLES["scene_metrics"] = f"""{O.NET.replace('WITH ', 'WITH RECURSIVE ', 1)}, {O.BOTH}, RC AS (SELECT episode, scene_id, character, character AS other FROM N UNION SELECT r.episode, r.scene_id, r.character, B.other FROM RC r JOIN B ON B.episode = r.episode AND B.scene_id = r.scene_id AND B.character = r.other),
 NC AS (SELECT episode, scene_id, count(DISTINCT least_one) AS n_components FROM (SELECT episode, scene_id, character, min(other) AS least_one FROM RC GROUP BY ALL) GROUP BY ALL)
 SELECT m.*, n_components FROM ({_OLD_METRICS}) m JOIN NC USING (episode, scene_id)"""
+
+_WORDS = f"WO AS ({O.ORACLES['interval_join_words']}), WS2 AS (SELECT WO.episode, WO.idx, WO.sentence_idx, CASE WHEN s.sent_id IS NOT NULL THEN coalesce(trim(s.speaker), '') END AS speaker FROM WO LEFT JOIN (SELECT DISTINCT * EXCLUDE (loaded_at) FROM sentences) s ON s.episode = WO.episode AND s.sentence_id = WO.sentence_idx)"
+ORACLES["word_speakers"] = f"WITH {_WORDS} SELECT episode, idx, sentence_idx, speaker FROM WS2"
+ORACLES["word_stats"] = f"WITH {_WORDS} SELECT episode, count(*) AS n_words, count(sentence_idx) AS n_in_sentences, count_if(coalesce(speaker, '') <> '') AS n_with_speaker FROM WS2 GROUP BY ALL"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnloom import schemas
 from turnloom.functions import text as T
+from turnloom.operators import sequence
 
 WORD = "STRUCT<word: STRING, start: DOUBLE, end: DOUBLE, speaker: STRING>"
 SENTENCE = "STRUCT<text: STRING, start: DOUBLE, end: DOUBLE, speaker: STRING>"
@@ -39,11 +40,20 @@ def _records(spark: SparkSession, path: str, field: str, needed: Iterable[str],
     return each.select("file", "idx", F.from_json("json", element.removeprefix("STRUCT<").removesuffix(">").replace(": ", " ")).alias("r"))
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
+def read_words(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """Word transcripts, ``{"words": [...]}`` or a bare list: file, idx, word, start_s, end_s, speaker. A null end is
-    the start; the order is that of start, then of the file. A file whose first word lacks a field is an error."""
+    the start; the order is that of start, then of the file. A file whose first word lacks a field is an error. With
+    ``names`` speakers are title-cased and replaced by what the map has for the title-cased label."""
     r = _records(spark, path, "words", ("word", "start", "end", "speaker"), WORD, bare=True)
-    return r.select("file", "idx", F.col("r.word").alias("word"), F.col("r.start").alias("start_s"), F.coalesce("r.end", "r.start").alias("end_s"), F.col("r.speaker").alias("speaker"))
+    return r.select("file", "idx", F.col("r.word").alias("word"), F.col("r.start").alias("start_s"), F.coalesce("r.end", "r.start").alias("end_s"), (F.col("r.speaker") if names is None else T.mapped_speaker(F.col("r.speaker"), F.create_map(*[F.lit(x) for pair in (names or {"": ""}).items() for x in pair]))).alias("speaker"))
+
+
+def read_utterances(spark: SparkSession, path: str, names: dict[str, str] | None = None, gap: float = 0.5) -> DataFrame:
+    """Word transcripts as utterances, a speaker's words with less than ``gap`` seconds between them being one: file, idx,
+    speaker, start_s, end_s, n_words, text."""
+    words = read_words(spark, path, names)
+    ordered = words.withColumn("idx", F.row_number().over(W.partitionBy("file").orderBy("start_s", "idx")) - 1)
+    return sequence.word_sessionization(ordered, ["file"], "idx", gap)
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
