@@ -263,7 +263,9 @@ def apply_fills(mapped: DataFrame, entity: list[str], steps: tuple = (fill_from_
     """
     names = [x.split()[0] for x in FILLED.split(", ")]
     blank = F.coalesce("speaker_ct", F.lit("")) == ""
-    near = with_neighbours(stage(mapped.select(*entity, *STATE), "mapped"), entity, "idx", F.struct(blank.alias("blank")))
+    wanted = dict(x.split() for x in FILLED.split(", "))
+    state = [F.col(c).cast(wanted[c]).alias(c) if c in wanted else F.col(c) for c in STATE]
+    near = with_neighbours(stage(mapped.select(*entity, *state), "mapped"), entity, "idx", F.struct(blank.alias("blank")))
     cut = F.coalesce(~blank & ~F.col("_prev.blank"), F.lit(True))
     pieces = running_sum(near.withColumn("_cut", F.when(cut, 1).otherwise(0)).drop("_prev", "_next"), entity, "idx", F.col("_cut"), "_part").drop("_cut")
     some = pieces.groupBy(*entity, "_part").agg((F.max(blank) & F.max(~blank)).alias("_todo"))
