@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnloom.functions.staging import stage
+
 MEASURES = ("degree", "degree_weighted", "strength", "degree_unweighted", "betweenness", "eigenvector")
 
 
@@ -64,16 +66,21 @@ def scene_metrics(nodes: DataFrame, edges: DataFrame, bounds: DataFrame, keys: l
     whole = graph_density(nodes, edges, keys).join(spans, keys, "left").join(real, keys, "left").join(interaction_entropy(edges, keys), keys, "left")
     possible = F.col("n_nodes") * (F.col("n_nodes") - 1)
     ratio = F.when(F.col("n_nodes") > 1, 2.0 * F.col("n_interaction_edges") / possible).otherwise(0.0)
-    return whole.withColumns({"n_interaction_edges": F.coalesce("n_interaction_edges", F.lit(0)), "entropy": F.coalesce("entropy", F.lit(0.0))}).withColumn("interaction_density", ratio).join(component_counts(nodes, edges, keys), keys, "left")
+    done = stage(whole.withColumns({"n_interaction_edges": F.coalesce("n_interaction_edges", F.lit(0)), "entropy": F.coalesce("entropy", F.lit(0.0))}).withColumn("interaction_density", ratio), "scene_metrics")
+    return done.join(component_counts(nodes, edges, keys, done), keys, "left")
 
 
-def component_counts(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_components. A graph with every possible edge has one; only others are walked."""
-    size = graph_density(nodes, edges, keys)
+def component_counts(nodes: DataFrame, edges: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """keys, n_components. A graph with every possible edge has one; only others are walked. ``sizes`` has n_nodes and
+    n_edges of each graph, if they are known."""
+    sizes = stage(graph_density(nodes, edges, keys), "sizes") if sizes is None else sizes
     full = 2 * F.col("n_edges") >= F.col("n_nodes") * (F.col("n_nodes") - 1)
-    open_ = size.where(~full).select(*keys)
+    whole = sizes.where(full).select(*keys, F.lit(1).cast("bigint").alias("n_components"))
+    open_ = sizes.where(~full).select(*keys)
+    if open_.isEmpty():
+        return whole
     walked = connected_components(nodes.join(open_, keys, "left_semi"), edges.join(open_, keys, "left_semi"), keys)
-    return size.where(full).select(*keys, F.lit(1).cast("bigint").alias("n_components")).unionByName(walked.groupBy(*keys).agg(F.countDistinct("component").alias("n_components")))
+    return whole.unionByName(walked.groupBy(*keys).agg(F.countDistinct("component").alias("n_components")))
 
 
 def edge_birth_death(edges: DataFrame) -> DataFrame:
