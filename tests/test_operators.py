@@ -364,3 +364,14 @@ def test_sessions_and_ends_over_blocks(spark):
     assert got == list(enumerate(want, 1))
     rows = spark.createDataFrame([("e", 0, 0.0, None), ("e", 1, 700.0, 690.0), ("e", 2, 2500.0, None), ("e", 3, None, None)], "e string, i int, start_s double, end_s double")
     assert {r.i: r.end_s for r in sequence.estimate_end_times(rows, ["e"], ["i"]).collect()} == {0: 700.0, 1: 2500.0, 2: 2500.5, 3: 0.0}
+
+
+def test_lookups_of_many_bytes_are_not_broadcast(spark):
+    from turnloom.functions import staging
+
+    left = spark.range(300).select("id", (F.col("id") % 30).alias("k"))
+    lookup = lambda size: spark.range(30).select(F.col("id").alias("k"), F.repeat(F.lit("x"), F.lit(size)).alias("v"))
+    big = staging.lookup_join(left, lookup(1 << 20), ["k"], salt_by="id")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan(big) and "strategy=broadcast" in plan(staging.lookup_join(left, lookup(1 << 10), ["k"], salt_by="id"))
+    assert big.agg(F.count("*"), F.sum(F.length("v"))).first()[:] == (300, 300 << 20)
