@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -375,3 +376,44 @@ def test_lookups_of_many_bytes_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan(big) and "strategy=broadcast" in plan(staging.lookup_join(left, lookup(1 << 10), ["k"], salt_by="id"))
     assert big.agg(F.count("*"), F.sum(F.length("v"))).first()[:] == (300, 300 << 20)
+
+
+def test_similarities_in_bulk_equal_those_one_by_one():
+    rng = random.Random(7)
+    words = ["the", "a", "trophy", "trophies", "it's", "é", "ßß", "ridiculous", "you", "know", "x" * 70]
+    texts = ["", " ", "a", "a a", "x" * 64, "x" * 65, "q" * 63 + " q", "z" * 300, "b a", "a b", *(" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(60))]
+    a, b = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    assert list(S.text_similarities(texts, a, b)) == [S.text_similarity(texts[i], texts[j]) for i, j in zip(a, b)]
+    many = "".join(map(chr, range(200, 900)))
+    assert S.text_similarities([many, "a"], np.array([0]), np.array([1]))[0] == S.text_similarity(many, "a")
+    assert not len(S.text_similarities([], np.array([], dtype=int), np.array([], dtype=int)))
+
+
+def test_alignment_compares_pairs_in_bulk(spark, monkeypatch):
+    """Several groups together give what each gives alone, without a comparison one by one."""
+    rng = random.Random(5)
+    say = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "hat", "then"], k=rng.randrange(1, 6)))
+    s = [("e", g, i, say(), "") for g in range(5) for i in range(g * 2)]
+    t = [("e", g, i, say(), "") for g in range(5) for i in range(9 - g)] + [("e", None, 1, "the cat", "")]
+    cols = "root string, scene int, idx bigint, norm string, who string"
+    want = set()
+    for g in range(5):
+        left, right = [r[3] for r in s if r[1] == g], [r[3] for r in t if r[1] == g]
+        gain = np.array([[S.text_similarity(a, b) for b in right] for a in left]).reshape(len(left), len(right))
+        score = {(i, 0): (-align.SKIP_LEFT * i, None) for i in range(len(left) + 1)} | {(0, j): (0.0, None) for j in range(len(right) + 1)}
+        for i in range(1, len(left) + 1):
+            for j in range(1, len(right) + 1):
+                pair, up, side = score[i - 1, j - 1][0] + (gain[i - 1, j - 1] - 0.45) * 2.2, score[i - 1, j][0] - 0.6, score[i, j - 1][0] - 0.2
+                best = max(pair, up, side)
+                score[i, j] = best, 1 if pair == best else 2 if up == best else 3
+        i, j = len(left), max(range(len(right) + 1), key=lambda j: score[len(left), j][0])
+        while i and j:
+            move = score[i, j][1]
+            if move == 1:
+                want.add((g, i - 1, j - 1))
+            i, j = i - (move != 3), j - (move != 2)
+    frames = spark.createDataFrame(s, cols), spark.createDataFrame(t, cols)
+    got = align.align_monotonic(*frames, ["root", "scene"]).collect()
+    assert {(r.scene, r.sent_idx, r.dialogue_idx) for r in got} == want and len(got) == len(want)
+    gains = [np.array([[S.text_similarity(r[3], q[3]) for q in t if q[1] == g] for r in s if r[1] == g]).reshape(g * 2, 9 - g) for g in range(5)]
+    assert align.best_paths(gains) == [align.best_paths([g])[0] for g in gains]
