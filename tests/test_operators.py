@@ -417,3 +417,9 @@ def test_alignment_compares_pairs_in_bulk(spark, monkeypatch):
     assert {(r.scene, r.sent_idx, r.dialogue_idx) for r in got} == want and len(got) == len(want)
     gains = [np.array([[S.text_similarity(r[3], q[3]) for q in t if q[1] == g] for r in s if r[1] == g]).reshape(g * 2, 9 - g) for g in range(5)]
     assert align.best_paths(gains) == [align.best_paths([g])[0] for g in gains]
+
+
+def test_fuzzy_similarity_compares_in_bulk(monkeypatch):
+    monkeypatch.setattr(S, "text_similarity", None)
+    a, b = pd.Series(["the cat sat", None, "", "a mat"]), pd.Series(["the cat sat", "x", None, "the mat a"])
+    assert list(S.fuzzy_similarity.func(a, b))[1:3] == [0.0, 0.0] and S.fuzzy_similarity.func(a, b)[0] == 1.0
