@@ -423,3 +423,13 @@ def test_fuzzy_similarity_compares_in_bulk(monkeypatch):
     monkeypatch.setattr(S, "text_similarity", None)
     a, b = pd.Series(["the cat sat", None, "", "a mat"]), pd.Series(["the cat sat", "x", None, "the mat a"])
     assert list(S.fuzzy_similarity.func(a, b))[1:3] == [0.0, 0.0] and S.fuzzy_similarity.func(a, b)[0] == 1.0
+
+
+def test_span_search_compares_only_what_may_win(monkeypatch):
+    calls = []
+    real = S.text_similarity
+    monkeypatch.setattr(S, "text_similarity", lambda a, b: calls.append(a) or real(a, b))
+    assert S.without_best_span("so the trophy is ridiculous he said the trophy is ridiculous", "the trophy is ridiculous") == "so he said the trophy is ridiculous"
+    assert S.without_best_span("nobody saw the red door open that night in march", "quick jumps fix vowels") == "nobody saw the red door open that night in march"
+    assert not calls
+    assert S.without_best_span("tell marjorie the trophie is ridiculous now", "the trophy is ridiculous") == "tell marjorie now" and calls
