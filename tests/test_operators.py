@@ -433,3 +433,12 @@ def test_span_search_compares_only_what_may_win(monkeypatch):
     assert S.without_best_span("nobody saw the red door open that night in march", "quick jumps fix vowels") == "nobody saw the red door open that night in march"
     assert not calls
     assert S.without_best_span("tell marjorie the trophie is ridiculous now", "the trophy is ridiculous") == "tell marjorie now" and calls
+
+
+def test_tables_of_unlike_sizes_are_filled_apart():
+    """Padded to one size, these would take gigabytes."""
+    gains = [np.ones((1500, 1)), *[np.ones((2, 2))] * 300, np.ones((1, 1500)), np.ones((0, 3))]
+    paths = align.best_paths(gains)
+    assert [len(p) for p in paths] == [1, *[2] * 300, 1, 0] and paths[1] == [(0, 0), (1, 1)]
+    tables = (1500 + 1500 + 1) * len(gains) * (1500 + 1)
+    assert tables > 100 * align.PADDED
