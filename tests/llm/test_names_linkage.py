@@ -208,3 +208,18 @@ def test_decoding_against_every_choice():
                 price = (0.0 if q["finish"] <= r["begin"] + 1 else linkage.SKIP) if step == 0 else 0.0 if step == 1 else min(linkage.LEAP, linkage.SKIP + linkage.STEP * max(0, step - gone))
             total += math.log(r["confidence"] / (1 - r["confidence"])) + 1.0 - price
         assert abs(total - max(want, 0.0)) < 1e-9
+
+
+def test_one_shared_triple_is_enough_anywhere(spark, monkeypatch):
+    """However many lines share it: those of a stock phrase are dealt out in blocks, none is left out."""
+    monkeypatch.setattr(linkage, "STOCK", 30)
+    monkeypatch.setattr(linkage, "STOCK_BLOCK", 16)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("bcdfgklmnprst", k=7))
+    typed = [f"never ever again {word()}" if i >= 150 and i % 3 == 0 else f"by the riverside {word()}" if i >= 150 and i % 25 == 1 else f"{word()} {word()}" for i in range(480)]
+    said = ["never ever again" if i == 10 else "by the riverside" if i == 20 else word() for i in range(480)]
+    d = [(i, "x_s01e01", i, 1 + i // 120, None, text, None) for i, text in enumerate(typed)]
+    s = [(i, "x_s01e01a", i, 1 + i // 120, None, text, None, None) for i, text in enumerate(said)]
+    pairs = {(r.sent_id, r.dialogue_id) for r in linkage.candidate_pairs(spark.createDataFrame(s, SEN), spark.createDataFrame(d, DIA)).collect()}
+    want = {(10 if text.startswith("never") else 20, i) for i, text in enumerate(typed) if len(text.split()) == 4}
+    assert pairs >= want and len(want) == 120
