@@ -442,3 +442,18 @@ def test_tables_of_unlike_sizes_are_filled_apart():
     assert [len(p) for p in paths] == [1, *[2] * 300, 1, 0] and paths[1] == [(0, 0), (1, 1)]
     tables = (1500 + 1500 + 1) * len(gains) * (1500 + 1)
     assert tables > 100 * align.PADDED
+
+
+def test_span_search_starts_from_the_likeliest_span(monkeypatch):
+    """Every span removed is the best of all, and only few are compared."""
+    rng, calls = random.Random(2), []
+    real = S.text_similarity.__wrapped__
+    monkeypatch.setattr(S, "text_similarity", lambda a, b: calls.append(a) or real(a, b))
+    for _ in range(150):
+        words = rng.choices(["the", "old", "cat", "hat", "sat", "on", "red", "mats"], k=rng.randrange(1, 12))
+        gone = [w if rng.random() < 0.8 else w[::-1] for w in words[rng.randrange(len(words)) :][: rng.randrange(1, 6)]]
+        spans = [(k, i) for k in range(max(1, len(gone) - 3), min(len(words), len(gone) + 3) + 1) for i in range(len(words) - k + 1)]
+        best = max(spans, key=lambda s: (real(" ".join(words[s[1] : s[1] + s[0]]), " ".join(gone)), -s[0], -s[1]), default=None)
+        near = best and real(" ".join(words[best[1] : best[1] + best[0]]), " ".join(gone)) >= 0.55
+        want = " ".join(words[: best[1]] + words[best[1] + best[0] :]) if near else " ".join(words)
+        assert S.without_best_span.__wrapped__(" ".join(words), " ".join(gone)) == want
