@@ -444,6 +444,34 @@ def test_tables_of_unlike_sizes_are_filled_apart():
     assert tables > 100 * align.PADDED
 
 
+def test_fills_compare_ahead_in_bulk(monkeypatch):
+    """Stretches filled together give what each gives alone, without a comparison one by one."""
+    rng = random.Random(4)
+    lines = ["We went home now. It was very late. Nobody saw us there", "Look at the moon! It is red again. Run now please", "Call the doctor. He is out today. Try again later"]
+
+    def stretch():
+        rows = []
+        for i in range(rng.randrange(3, 9)):
+            line = rng.choice(lines)
+            typed = i % 3 == 1
+            rows.append({"idx": i, "norm": align.norm_of(rng.choice(line.split(". "))), "start_s": float(i), "end_s": i + 0.5, "scene_id": 1, "speaker_ct": "A" if typed else None, "utterance_ct": line if typed else None, "comm_dialogue_idx": i, "match_similarity": 0.9, "fill_method": None})
+        return rows
+
+    stretches = [stretch() for _ in range(80)]
+    for step in (align.fill_from_anchors, align.fill_residual):
+        alone, together = [[dict(r) for r in rows] for rows in stretches], [[dict(r) for r in rows] for rows in stretches]
+        for rows in alone:
+            step(rows)
+        calls = []
+        with monkeypatch.context() as m:
+            m.setattr(align, "text_similarity", lambda a, b: calls.append(a) or S.text_similarity(a, b))
+            align.fill_stretches(together, (step,))
+        keys = ("speaker_ct", "utterance_ct", "fill_method", "scene_id", "match_similarity")
+        assert [[[r[k] for k in keys] for r in rows] for rows in alone] == [[[r[k] for k in keys] for r in rows] for rows in together]
+        filled = sum(r["filled_from"] is not None for rows in together for r in rows)
+        assert filled > 20 and len(calls) < filled
+
+
 def test_span_search_starts_from_the_likeliest_span(monkeypatch):
     """Every span removed is the best of all, and only few are compared."""
     rng, calls = random.Random(2), []
