@@ -485,3 +485,19 @@ def test_span_search_starts_from_the_likeliest_span(monkeypatch):
         near = best and real(" ".join(words[best[1] : best[1] + best[0]]), " ".join(gone)) >= 0.55
         want = " ".join(words[: best[1]] + words[best[1] + best[0] :]) if near else " ".join(words)
         assert S.without_best_span.__wrapped__(" ".join(words), " ".join(gone)) == want
+
+
+def test_nearest_values_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "BLOCK", 4)
+    rng = random.Random(6)
+    rows = [(e, i, rng.choice([None, None, None, i])) for e in "ab" for i in range(30)] + [("c", i, None) for i in range(6)]
+    got = sequence.nearest_values(spark.createDataFrame(rows, "e string, i int, v int"), ["e"], "i", F.col("v"), "_before", "_after").collect()
+    for r in got:
+        known = [v for e, _, v in rows if e == r.e and v is not None]
+        assert r._before == max((v for v in known if v <= r.i), default=None) and r._after == min((v for v in known if v >= r.i), default=None)
+    assert len(got) == len(rows)
+
+
+def test_forms_for_matching_in_python():
+    assert T.match_words("\t It’s (x) FINE… [y [z]  ﬁve") == "it's fine five" and T.match_words("a (b") == "a b" and T.match_words(None) == ""
+    assert T.speaker_words(" O’Brien (V.O.) ") == "o brien v o" and T.speaker_words(None) == ""
