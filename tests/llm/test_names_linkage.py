@@ -223,3 +223,29 @@ def test_one_shared_triple_is_enough_anywhere(spark, monkeypatch):
     pairs = {(r.sent_id, r.dialogue_id) for r in linkage.candidate_pairs(spark.createDataFrame(s, SEN), spark.createDataFrame(d, DIA)).collect()}
     want = {(10 if text.startswith("never") else 20, i) for i, text in enumerate(typed) if len(text.split()) == 4}
     assert pairs >= want and len(want) == 120
+
+
+def test_last_pass_sends_blocks_and_finds_every_pair(spark, monkeypatch):
+    """Texts cross the network once for each block, not once for each pair, and pairs and levels are those of every sentence
+    with every line."""
+    monkeypatch.setattr(linkage, "STOCK", 16)
+    monkeypatch.setattr(linkage, "STOCK_BLOCK", 32)
+    rng = random.Random(3)
+    words = "my cousin never ever dropped lantern lanterns kettle ketle the of by night 2 nights repaired repaird um".split()
+    text = lambda: " ".join([rng.choice(["my cousin never", "by the night", ""]), *rng.choices(words, k=rng.randrange(1, 7))]).strip()
+    sentences = [{"sent_id": i, "pos": i, "words": text(), "names": rng.choice(["", "ann lee"]), "score": rng.choice([None, 0.6, 0.8]), "places": rng.choice([[], [i * 1.0], [i / 2, 90.0]])} for i in range(60)]
+    lines = [{"line": i, "dialogue_id": 500 + i, "words": text(), "names": rng.choice(["", "ann lee", "bob ray"])} for i in range(120)]
+    got = sorted(linkage.share_triples("x", sentences, lines))
+    want = []
+    for s in sentences:
+        _, probe, need = linkage.stems(s["words"])
+        for d in lines:
+            alike = linkage.triples(s["words"].split()) & linkage.triples(d["words"].split()) and len(set(probe) & set(linkage.stems(d["words"])[0])) >= need
+            if alike and all(abs(d["line"] - p) > linkage.WINDOW for p in s["places"]):
+                want.append(linkage._levels(s["sent_id"], d["dialogue_id"], "x", s["pos"], d["line"], s["words"], d["words"], s["names"], d["names"], s["places"], s["score"]))
+    assert got == sorted(want) and len(got) > 100
+    s = [(r["sent_id"], "x_s01e01a", r["pos"], None, None, r["words"], None, None) for r in sentences]
+    d = [(r["dialogue_id"], "x_s01e01", r["line"], None, None, r["words"], None) for r in lines]
+    pairs = linkage.candidate_pairs(spark.createDataFrame(s, SEN), spark.createDataFrame(d, DIA))
+    assert "Aggregate [sent_id" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() == pairs.select("sent_id", "dialogue_id").distinct().count() > 0
