@@ -500,3 +500,16 @@ def test_nearest_values_both_ways(spark, monkeypatch):
 def test_forms_for_matching_in_python():
     assert T.match_words("\t It’s (x) FINE… [y [z]  ﬁve") == "it's fine five" and T.match_words("a (b") == "a b" and T.match_words(None) == ""
     assert T.speaker_words(" O’Brien (V.O.) ") == "o brien v o" and T.speaker_words(None) == ""
+
+
+def test_stretches_that_a_fill_cannot_change_stay_out_of_python(spark, monkeypatch):
+    def touch(rows):
+        for r in rows:
+            r["fill_method"] = "seen"
+
+    monkeypatch.setitem(align.FILLABLE, touch, align.FILLABLE[align.fill_directional])
+    scenes = [(1, 1, 1), (2, None, 2), (3, 3, 4), (5, 5, 5), (None, None, None)]
+    rows = [("e", 10 * k + i, None if k == 3 and i == 1 else "a b", i / 1.0, i + 0.5, scene, None if i == 1 else "A", "X y. Z w. Q", 1, 0.9, None) for k, trio in enumerate(scenes) for i, scene in enumerate(trio)]
+    df = spark.createDataFrame(rows, "e string, idx bigint, norm string, start_s double, end_s double, scene_id int, speaker_ct string, utterance_ct string, comm_dialogue_idx bigint, match_similarity double, fill_method string")
+    assert {r.idx for r in align.apply_fills(df, ["e"], (touch,)).collect() if r.fill_method == "seen"} == {0, 1, 2}
+    assert align.apply_fills(df, ["e"], (touch, align.fill_residual)).where("fill_method = 'seen'").count() == align.apply_fills(df, ["e"], ()).count() == 15
