@@ -513,3 +513,22 @@ def test_stretches_that_a_fill_cannot_change_stay_out_of_python(spark, monkeypat
     df = spark.createDataFrame(rows, "e string, idx bigint, norm string, start_s double, end_s double, scene_id int, speaker_ct string, utterance_ct string, comm_dialogue_idx bigint, match_similarity double, fill_method string")
     assert {r.idx for r in align.apply_fills(df, ["e"], (touch,)).collect() if r.fill_method == "seen"} == {0, 1, 2}
     assert align.apply_fills(df, ["e"], (touch, align.fill_residual)).where("fill_method = 'seen'").count() == align.apply_fills(df, ["e"], ()).count() == 15
+
+
+def test_residual_fill_removes_spans_only_where_the_rest_may_fit(monkeypatch):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choices(["the", "the", "a", "cat", "cats", "sat", "on", "mat", "ridiculous", "trophy", "you", "know"], k=rng.randrange(1, n)))
+    skipped = 0
+    for _ in range(4000):
+        line, gone = say(14), rng.choice([say(7), ""])
+        words = line.split()
+        text = rng.choice([say(7), " ".join(words[rng.randrange(len(words)) :])])
+        sim = max(S.text_similarity(text, " ".join(words[:i] + words[i + k :])) for k in range(min(len(words), len(gone.split()) + 3 if gone else 0) + 1) for i in range(len(words) - k + 1))
+        for least in (0.5, 0.7, 0.9):
+            may = align.rest_may_fit(text, line, gone, least)
+            assert may or sim < least
+            skipped += not may
+    assert skipped > 2000
+    monkeypatch.setattr(align, "without_best_span", None)
+    rows = [{"norm": n, "speaker_ct": w, "utterance_ct": u, "start_s": 0.0, "end_s": 1.0} for n, w, u in (("i saw the red fox", "Ann", "I saw the red fox. Then it rained hard"), ("what on earth is banjo", None, None))]
+    align.fill_stretch([dict(r, scene_id=1, idx=i, comm_dialogue_idx=None, match_similarity=None, fill_method=None) for i, r in enumerate(rows)], (align.fill_residual,))
