@@ -41,6 +41,37 @@ def test_scene_and_episode_edges(spark):
     assert graphs[0].nodes == ["A"] and graphs[0].edges == []
 
 
+def test_episode_edges_of_turns_match_the_scenes_edges(spark):
+    rng = random.Random(5)
+    rows = []
+    for e, scenes, cast, n in (("d1", range(24), 30, 300), ("d2", (0, 31), 7, 80), ("d3", range(12), 9, 120)):
+        rows += [(e, rng.choice(scenes), 1000 + i, float(i), i + 0.5, f"u{rng.randrange(cast)}", "x") for i in range(n)]
+    few = network.turns(spark.createDataFrame(rows, ROW), ["sentence_id"])
+    wide = [("d4", rng.choice([-40, -1, 0, 31, 32, 63, 64, 1000]), i, float(i), i + 0.5, rng.choice("ABCDEÄz"), "x") for i in range(60)]
+    many = few.unionByName(network.turns(spark.createDataFrame(wide, ROW), ["sentence_id"]))
+    crowd = [("d5", 3 + i // 300, i, float(i), i + 0.5, f"u{i % 290}", "x") for i in range(320)]  # more speakers than a list of targets holds
+    kinds = [(few.unionByName(network.turns(spark.createDataFrame(crowd, ROW), ["sentence_id"])), {"scenes": 32}, {}), (many, {}, {}), (many, {}, {"window": 2, "adjacency": -1.0, "proximity": 0.3, "copresence": 0.1}), (few, {"scenes": 32}, {"copresence": 0.0})]
+    for t, bound, how in kinds:
+        got = network.episode_edges_of(t, **bound, **how)
+        want = network.episode_edges(network.scene_edges(t, **how))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="not a scene below 32"):
+        network.episode_edges_of(many, scenes=32).collect()
+    with pytest.raises(ValueError):
+        network.episode_edges_of(few, scenes=33)
+
+
+def test_event_edges_shuffle_no_pairs(spark, tmp_path):
+    spark.sql("select id as event_id, timestamp_millis(id * 61000) as ts, id * 7 % 30 as user_id from range(3000)").write.parquet(str(tmp_path / "events.parquet"))
+    from turnloom.plans import catalogue
+
+    out = catalogue.QUERIES["event_edges"](spark, str(tmp_path))
+    above = out._jdf.queryExecution().executedPlan().toString().split("Generate inline")
+    assert len(above) == 2 and "Exchange" not in above[0].split("Join")[0] and "Aggregate" not in above[0]
+    want = network.episode_edges(network.scene_edges(network.turns_of_events(spark.read.parquet(str(tmp_path / "events.parquet")))))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_centralities(spark):
     e = spark.createDataFrame([("e", 1, "A", "B", 4.0), ("e", 1, "A", "C", 1.0), ("e", 1, "B", "C", 1.0)], "episode string, scene_id int, source string, target string, weight double")
     n = spark.createDataFrame([("e", 1, c) for c in "ABC"] + [("e", 2, "Z")], "episode string, scene_id int, character string")

@@ -75,22 +75,52 @@ def episode_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("episode", *PAIR).agg(*[total(c) for c in ("weight", "adjacency", "proximity", "copresence")])
 
 
-def episode_edges_of(t: DataFrame, window: int = 3, adjacency: float = 1.0, proximity: float = 0.5, copresence: float = 0.25) -> DataFrame:
-    """``episode_edges`` of ``scene_edges`` straight from the turns. Co-presence, of which there are as many rows as
-    pairs of speakers of a scene, is counted for each episode before anything is shuffled; only near turns are summed
-    for each scene first, as their rounding asks for."""
+def episode_edges_of(t: DataFrame, window: int = 3, adjacency: float = 1.0, proximity: float = 0.5, copresence: float = 0.25, scenes: int | None = None) -> DataFrame:
+    """``episode_edges`` of ``scene_edges`` straight from the turns, for scenes with whole numbers. Co-presence, of which
+    there are as many rows as pairs of speakers of a scene, isn't shuffled: each speaker carries the set of its scenes, 32 of
+    them as the bits of a number, so two speakers meet in the first scene they share and the others are counted from
+    the bits. What near turns add is looked up in a map of the source. Episodes of more scenes fall in parts of 32, whose
+    edges are summed; a caller who knows that all numbers are from 0 to below ``scenes``, 32 at most, spares that sum, and
+    any other number is then an error."""
+    if scenes is not None and not 0 < scenes <= 32:
+        raise ValueError(f"scenes must be from 1 to 32, not {scenes}")
     unit = math.lcm(*range(1, window + 1))
     units = lambda c: F.round(F.round(c.cast("double"), 4) * 10000).cast("bigint")
-    alone = units(F.lit(copresence))
+    alone = F.when(units(F.lit(copresence)) > 0, units(F.lit(copresence))).otherwise(0)
+    together = F.when(alone > 0, 10000).otherwise(0)
+    weighty = min(adjacency, proximity) >= 0 and copresence >= 0.0001  # each pair of a scene has a weight
+    added = "wap" if weighty else "wapc"
+    number = F.col("scene_id").cast("bigint")
+    if scenes is not None:
+        number = F.when(number.between(0, scenes - 1), number).otherwise(F.raise_error(F.concat(F.lit(f"not a scene below {scenes}: "), number.cast("string"))).cast("bigint"))
+    part, at = F.shiftright(number, 5).alias("part"), number.bitwiseAND(31).cast("int").alias("at")
+    group, one = ["episode", "part"], F.lit(1).cast("bigint")
+    mark = lambda c: F.call_function("shiftleft", one, F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+
     summed = neighbours(t, window).groupBy(*SCENE, *PAIR).agg(F.sum(F.when(F.col("distance") == 1, 1).otherwise(0)).alias("a"), F.sum((F.lit(unit) / F.col("distance")).cast("bigint")).alias("p"))
     weight = adjacency * F.col("a") + proximity * F.col("p") / unit + F.lit(copresence)
-    near = summed.select("episode", *PAIR, (F.when(weight > 0, units(weight)).otherwise(0) - F.when(alone > 0, alone).otherwise(0)).alias("w"), units(F.col("a")).alias("a"), units(F.col("p") / unit).alias("p"), F.lit(0).cast("bigint").alias("c"))
-    names = F.array_sort(F.collect_set("speaker"))
-    scenes = t.groupBy(*SCENE).agg(names.alias("names")).select("episode", F.posexplode("names").alias("at", "source"), "names")
-    pairs = scenes.select("episode", "source", F.explode(F.slice("names", F.col("at") + 2, F.size("names"))).alias("target"))
-    together = pairs.select("episode", *PAIR, F.when(alone > 0, alone).otherwise(0).alias("w"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("p"), F.lit(10000 if copresence >= 0 else 0).cast("bigint").alias("c"))
-    total = lambda x, name: (F.sum(x) / 10000).alias(name)
-    return near.unionByName(together).groupBy("episode", *PAIR).agg(total("w", "weight"), total("a", "adjacency"), total("p", "proximity"), total("c", "copresence")).where("weight > 0")
+    kept = lambda c: F.when(units(weight) > 0, c).otherwise(0)
+    near = summed.select("episode", part, *PAIR, (kept(units(weight)) - alone).alias("w"), kept(units(F.col("a"))).alias("a"), kept(units(F.col("p") / unit)).alias("p"), (kept(F.lit(10000).cast("bigint")) - together).alias("c"))
+    near = near.groupBy(*group, *PAIR).agg(*[F.sum(c).alias(c) for c in added])
+    more = near.groupBy(*group, "source").agg(F.map_from_entries(F.collect_list(F.struct("target", F.struct(*added)))).alias("near"), F.bit_or(mark("target")).alias("marks"))
+
+    cast = t.select("episode", part, at, "speaker").groupBy(*group, "speaker").agg(F.collect_set("at").alias("at"), F.bit_or(F.call_function("shiftleft", one, F.col("at"))).alias("bits"))
+    # Targets stand in lists of 256 in the order of their names, so that only a source's own list is compared name by name.
+    ranked = cast.select(*group, "speaker", "bits", F.explode("at").alias("at")).withColumn("list", F.floor((F.row_number().over(W.partitionBy(*group, "at").orderBy("speaker")) - 1) / 256))
+    lists = ranked.groupBy(*group, "at", "list").agg(F.min("speaker").alias("least"), F.max("speaker").alias("most"), F.collect_list(F.struct(F.col("speaker").alias("target"), F.col("bits").alias("others"), mark("speaker").alias("mark"))).alias("targets"))
+    sources = cast.withColumnRenamed("speaker", "source").join(more, [*group, "source"], "left").select(*group, "source", "bits", "near", F.coalesce("marks", F.lit(0)).alias("marks"), F.explode("at").alias("at"))
+    before = F.call_function("shiftleft", one, F.col("at")) - 1
+    met = sources.join(lists, [*group, "at"]).where("most > source").select("episode", "source", "bits", F.col("bits").bitwiseAND(before).alias("before"), "near", "marks", (F.col("least") > F.col("source")).alias("whole"), "targets")
+    pairs = met.select("*", F.inline("targets")).where("(before & others) = 0 and (whole or target > source)")
+    found = pairs.select("episode", *PAIR, F.bit_count(F.col("bits").bitwiseAND(F.col("others"))).cast("bigint").alias("n"), F.when(F.col("marks").bitwiseAND(F.col("mark")) != 0, F.try_element_at("near", F.col("target"))).alias("x"))
+    add = lambda c: F.coalesce(f"x.{c}", F.lit(0).cast("bigint")) if c in added else F.lit(0).cast("bigint")
+    edges = found.select("episode", *PAIR, (F.col("n") * alone + add("w")).alias("w"), add("a").alias("a"), add("p").alias("p"), (F.col("n") * together + add("c")).alias("c"))
+    if scenes is None:
+        edges = edges.groupBy("episode", *PAIR).agg(*[F.sum(c).alias(c) for c in "wapc"])
+    total = lambda c, name: (F.col(c) / 10000).alias(name)
+    if not weighty:
+        edges = edges.where("w > 0")
+    return edges.select("episode", *PAIR, total("w", "weight"), total("a", "adjacency"), total("p", "proximity"), total("c", "copresence"))
 
 
 def scene_bounds(t: DataFrame) -> DataFrame:
