@@ -450,6 +450,24 @@ def test_alignment_compares_pairs_in_bulk(spark, monkeypatch):
     assert align.best_paths(gains) == [align.best_paths([g])[0] for g in gains]
 
 
+def test_long_groups_are_aligned_in_tiles(spark, monkeypatch):
+    """A table in tiles gives the pairs of the whole table, whatever the shape, ties too."""
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "then"], k=rng.randrange(0, 4)))
+    shapes = [(1, 30), (30, 1), (17, 23), (23, 17), (24, 24), (16, 8), (40, 9), (2, 2), (5, 0)]
+    s = [(f"e{g}", i + 1, say(), rng.choice(["", "ann", "bob"])) for g, (n, _) in enumerate(shapes) for i in range(n)]
+    t = [(f"e{g}", i + 1, say(), rng.choice(["", "ann", "bob"])) for g, (_, m) in enumerate(shapes) for i in range(m)]
+    frames = [spark.createDataFrame(x, "episode string, idx bigint, norm string, who string").repartition(3) for x in (s, t)]
+    for speakers in (False, True):
+        want = sorted(align.align_monotonic(*frames, ["episode"], speakers).collect())
+        with monkeypatch.context() as m:
+            m.setattr(align, "WHOLE", 20)
+            m.setattr(align, "SIDE", 8)
+            m.setattr(align, "STRIP", 3)
+            assert sorted(align.align_whole(*frames, ["episode"], speakers).collect()) == want
+        assert sorted(align.align_whole(*frames, ["episode"], speakers).collect()) == want and len({r.episode for r in want}) > 5
+
+
 def test_fuzzy_similarity_compares_in_bulk(monkeypatch):
     monkeypatch.setattr(S, "text_similarity", None)
     a, b = pd.Series(["the cat sat", None, "", "a mat"]), pd.Series(["the cat sat", "x", None, "the mat a"])

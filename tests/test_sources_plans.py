@@ -158,3 +158,16 @@ def test_rows_without_a_scene_are_aligned(spark, tmp_path):
     for name in ("anchor_chunk_fill", "directional_residual_fill", "neighbor_residual_fill"):
         assert sorted((r.idx, r.speaker_ct) for r in q(name)) == [(i, f"W{i}") for i in range(6)] + [(6, None)]
     assert sorted((r.episode, r.n_sentences, r.n_align, r.n_unfilled) for r in q("annotation_stats")) == [("x_s01e01a", 4, 4, 0), ("x_s01e01b", 3, 2, 1)]
+
+
+def test_recordings_are_aligned_whatever_their_scenes(spark, tmp_path):
+    """A row in a wrong scene has its partner, and each recording is aligned with all lines of its root."""
+    sent = "sent_id bigint, episode string, season string, scene_id int, sentence_id int, start_s double, end_s double, speaker string, utterance string, alignment_score double, loaded_at timestamp"
+    texts = ["we lost the map", "look in the kitchen drawer", "somebody stole the piano", "call the museum now", "they are closed today"]
+    said = [("a", 1, 0), ("a", 7, 1), ("a", 2, 2), ("b", 2, 2), ("b", 2, 3), ("b", None, 4)]
+    rows = [(20 - i, f"x_s01e01{part}", "s01", scene, i, None, None, None, texts[k], None, None) for i, (part, scene, k) in enumerate(said)]
+    spark.createDataFrame(rows, sent).write.parquet(str(tmp_path / "sentences.parquet"))
+    typed = [(10 + i, "x_s01e01", i, scene, "W", texts[i].upper(), None) for i, scene in enumerate([1, 1, 3, 3, 9])]
+    spark.createDataFrame(typed, "dialogue_id bigint, episode_root string, dialogue_idx int, scene_idx int, speaker_ct string, utterance_ct string, loaded_at timestamp").write.parquet(str(tmp_path / "dialogues.parquet"))
+    got = catalogue.QUERIES["align_monotonic"](spark, str(tmp_path)).collect()
+    assert sorted((r.episode, r.sent_idx, r.dialogue_idx) for r in got) == sorted((f"x_s01e01{part}", 20 - i, 10 + k) for i, (part, _, k) in enumerate(said))

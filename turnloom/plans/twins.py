@@ -115,6 +115,17 @@ UNION ALL SELECT TR.root, TR.scene_id, CASE WHEN mv[TR.j] = 3 THEN TR.i ELSE TR.
 AL AS (SELECT CE.root, CE.scene_id, CE.sent_idx, CE.dialogue_idx, CE.sim FROM TR JOIN CE ON CE.root = TR.root AND CE.scene_id = TR.scene_id AND CE.i = TR.i + 1 AND CE.j = TR.j + 1 WHERE hit = 1)"""
 
 
+#: The inputs of whole recordings: all lines of its root for each.
+WHOLE_INPUTS = f"""{O.S}, {O.D},
+A1 AS (SELECT {O.ROOT} AS root, episode, sent_id AS idx, {match_norm('utterance')} AS norm, '' AS who, row_number() OVER (PARTITION BY episode ORDER BY sentence_id NULLS LAST, sent_id) AS i FROM S WHERE episode IS NOT NULL),
+B1 AS (SELECT root, episode, dialogue_id AS idx, {match_norm('utterance_ct')} AS norm, '' AS who, row_number() OVER (PARTITION BY episode ORDER BY dialogue_idx NULLS LAST, dialogue_id) AS j FROM D JOIN (SELECT DISTINCT root, episode FROM A1) p ON p.root = D.episode_root)"""
+
+
+def aligned_whole() -> str:
+    """CTEs up to AL(root, episode, sent_idx, dialogue_idx, sim): ``aligned`` with a recording as group, not a scene."""
+    return aligned().replace(INPUTS, WHOLE_INPUTS, 1).replace("scene_id", "episode")
+
+
 #: Aligned pairs with the rule forms of both texts and speakers.
 PAIRED = f"""{aligned()}, PR AS (SELECT AL.*, {O.norm('x.utterance')} AS a, {O.norm('y.utterance_ct')} AS b, {O.norm('x.speaker')} AS wa, {O.norm('y.speaker_ct')} AS wb
     FROM AL JOIN A1 x ON x.idx = AL.sent_idx JOIN B1 y ON y.idx = AL.dialogue_idx)"""
@@ -122,7 +133,7 @@ PAIRED = f"""{aligned()}, PR AS (SELECT AL.*, {O.norm('x.utterance')} AS a, {O.n
 ORACLES = {
     "normalize_text_match": f"WITH {O.D} SELECT dialogue_id, {match_norm('utterance_ct')} AS norm FROM D",
     "normalize_speaker": f"WITH {O.D} SELECT dialogue_id, {who_norm('speaker_ct')} AS who FROM D",
-    "align_monotonic": f"WITH RECURSIVE {aligned()} SELECT root, CAST(scene_id AS INTEGER) AS scene_id, sent_idx, dialogue_idx, round(sim, 6) AS sim FROM AL",
+    "align_monotonic": f"WITH RECURSIVE {aligned_whole()} SELECT root, episode, sent_idx, dialogue_idx, round(sim, 6) AS sim FROM AL",
     "align_monotonic_speakers": f"WITH RECURSIVE {aligned(True)} SELECT root, CAST(scene_id AS INTEGER) AS scene_id, sent_idx, dialogue_idx, round(sim, 6) AS sim FROM AL",
     "fuzzy_similarity": f"""WITH RECURSIVE {PAIRED}, {similarities('PR', 'TX')}, WP AS (SELECT wa AS a, wb AS b FROM PR), {similarities('WP', 'WH')}
 SELECT sent_idx AS sent_id, dialogue_idx AS dialogue_id, round(coalesce(TX.sim, 0.0), 6) AS sim, round(coalesce(WH.sim, 0.0), 6) AS name_sim FROM PR LEFT JOIN TX ON TX.a = PR.a AND TX.b = PR.b LEFT JOIN WH ON WH.a = PR.wa AND WH.b = PR.wb""",
